@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import level_rank
+
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -50,3 +52,9 @@ def mask_cells(df: DataFrame, keys: Sequence[str], cells: Sequence[tuple], value
             match = match & F.col(key).eqNullSafe(F.lit(wanted))
         hidden = hidden | match
     return df.withColumn(value, F.when(~hidden, F.col(value)))
+
+
+def arrange(df: DataFrame, *keys: str, levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """Sort an output; columns with given levels sort in level order, others by value."""
+    levels = levels or {}
+    return df.orderBy(*[(level_rank(F.col(k), levels[k]) if k in levels else F.col(k)).asc_nulls_last() for k in keys])
