@@ -59,7 +59,8 @@ def prop_ever_married(spark, sf):
 
 
 def relative_to_matric(spark, sf):
-    relative = M.relative_to(M.prop_ever(P.analysis_persons(episodes(spark, sf))))
+    # a group without anyone married in the reference education has no relative difference
+    relative = M.relative_to(M.prop_ever(P.analysis_persons(episodes(spark, sf))), strict=False)
     return rounded(relative.select("Generation", "Sex", "EduMaxLbl", "Ref", "Adv"), "Ref", "Adv")
 
 

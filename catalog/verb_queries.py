@@ -203,10 +203,9 @@ def quantile_summary(spark, sf):
     by = ["o_orderpriority"]
     priced = orders(spark, sf)
     counts = A.value_counts(priced, by, "o_totalprice")
-    quantiles = A.counted_quantiles(counts, by, "o_totalprice", {"median": 0.5, "q1": 0.25, "q3": 0.75}, 500.0)
-    moments = A.counted_moments(counts, by, "o_totalprice", 250000.0)
-    joined = quantiles.join(moments, by)
-    return joined.select(
+    probs = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    summary = A.counted_summary(counts, by, "o_totalprice", probs, 500.0, 250000.0)
+    return summary.select(
         "o_orderpriority", *[F.round(c, 2).alias(c.lower()) for c in ("median", "q1", "q3", "Mean", "sd")], "n"
     )
 

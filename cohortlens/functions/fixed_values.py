@@ -44,6 +44,7 @@ FEMALE, MALE = 2, 1
 HOUSEHOLD_HEAD = 1
 SINGLE, MARRIED, INFORMAL_UNION = 1, 2, 5
 EVER_MARRIED_PATTERN = "2|3|4"
+EVER_MARRIED_CODES = [2, 3, 4]
 LIVE_BIRTH_PATTERN = "L|M|F"
 MATRIC_GRADE = 12
 GRADES_BEFORE_MATRIC = [10, 11]

@@ -40,6 +40,11 @@ def matches(col: Column, pattern: str) -> Column:
     return F.coalesce(col.cast("string").rlike(pattern), F.lit(False))
 
 
+def matches_code(code: Column, pattern: str, digits: Sequence[int]) -> Column:
+    """``matches`` for a pattern that is a choice of digits: one-digit codes are compared as numbers."""
+    return F.when((code >= 0) & (code <= 9), code.isin(list(digits))).otherwise(matches(code, pattern))
+
+
 def between(col: Column, lo, hi, incl_lo: bool = False, incl_hi: bool = False) -> Column:
     above = col >= F.lit(lo) if incl_lo else col > F.lit(lo)
     below = col <= F.lit(hi) if incl_hi else col < F.lit(hi)
@@ -117,8 +122,9 @@ def round_half_even(col: Column, digits: int = 0) -> Column:
 
 
 def fixed_text(col: Column, digits: int = 2) -> Column:
-    """Rounded number as text with a fixed count of decimals, no grouping marks."""
-    return F.format_string(f"%.{digits}f", round_half_even(col, digits))
+    """Rounded number as text with a fixed count of decimals, no grouping marks; null is NA."""
+    value = round_half_even(col, digits)
+    return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def safe_divide(a: Column, b: Column) -> Column:

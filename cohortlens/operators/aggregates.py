@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent, safe_divide, significance_mark
+from .skew import same_keys
 
 
 def count_by(df: DataFrame, *keys: str, name: str = "n", **named: Column) -> DataFrame:
@@ -72,8 +73,11 @@ def counted_quantiles(counts: DataFrame, by: Sequence[str], x: str, probs: Mappi
 
     wanted = [end(h) for h in places.values() for end in (F.floor, F.ceil)]
     target = bins.filter(reduce(lambda a, b: a | b, [holds(r, "_before", "_upto") for r in wanted]))
+    # null-safe keys keep a group without a name, and leave both sides of the join with the same
+    # subplan, so that the counts are computed once and their exchange is reused
+    side = target.select(*[F.col(c).alias(f"_b_{c}") for c in [*by, "_bin"]], "_before", "_total")
     ranked = (
-        binned.join(target.drop("_upto", "_in_bin"), [*by, "_bin"])
+        binned.join(side, same_keys(binned, side, [(c, f"_b_{c}") for c in [*by, "_bin"]]))
         .withColumn("_stop", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy(x)))
         .withColumn("_start", F.col("_stop") - F.col("_n"))
     )
@@ -89,6 +93,16 @@ def counted_quantiles(counts: DataFrame, by: Sequence[str], x: str, probs: Mappi
     return found.select(*by, *values)
 
 
+def counted_summary(
+    counts: DataFrame, by: Sequence[str], x: str, probs: Mapping[str, float], width: float, centre: float = 0.0
+) -> DataFrame:
+    """Quantiles and moments of counted values side by side: one row per group on both sides."""
+    moments = counted_moments(counts, by, x, centre).withColumnsRenamed({c: f"_m_{c}" for c in by})
+    quantiles = counted_quantiles(counts, by, x, probs, width)
+    matched = same_keys(quantiles, moments, [(c, f"_m_{c}") for c in by])
+    return quantiles.join(moments, matched).drop(*[f"_m_{c}" for c in by])
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], x: str, probs: Mapping[str, float], width: float) -> DataFrame:
     return counted_quantiles(value_counts(df, by, x), by, x, probs, width)
 

@@ -123,9 +123,14 @@ def cohort_women(episodes: DataFrame) -> DataFrame:
 
 
 def _lived(year: Column) -> Column:
-    """The year lies between birth and death."""
-    alive = F.col("DoD").isNull() | (year <= decimal_date(F.col("DoD")))
-    return (year >= decimal_date(F.col("DoB"))) & alive
+    """The year starts at birth or later and not after death.
+
+    The same as comparing with the dates as fractional years, in whole numbers: a year starts
+    after the birth date unless it is the year of birth (and the birth not on 1 January).
+    """
+    born = F.col("DoB")
+    after_birth = (year > F.year(born)) | ((year == F.year(born)) & (F.dayofyear(born) == 1))
+    return after_birth & (F.col("DoD").isNull() | (year <= F.year("DoD")))
 
 
 def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:

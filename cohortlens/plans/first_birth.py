@@ -10,8 +10,8 @@ from ..functions.scalars import fixed_text, iqr_text, recode, round_half_even
 from ..operators.aggregates import (
     anova_from_cells,
     cell_moments,
-    counted_moments,
     counted_quantiles,
+    counted_summary,
     merge_cells,
     value_counts,
 )
@@ -43,12 +43,10 @@ def first_birth_summary(pregnancies: DataFrame, episodes: DataFrame) -> DataFram
     """Median, quartiles, mean, sd as two-decimal text, n and IQR per education and cohort."""
     by = ["EduMaxLbl", "Generation"]
     counts = value_counts(first_births(pregnancies, episodes), by, "AgeAtBirth", F.col("_records"))
-    quantiles = counted_quantiles(counts, by, "AgeAtBirth", {"Median": 0.5, "Q1": 0.25, "Q3": 0.75}, BIN)
-    # both sides have one row per education and cohort
-    joined = quantiles.join(counted_moments(counts, by, "AgeAtBirth", CENTRE), by)
+    summary = counted_summary(counts, by, "AgeAtBirth", {"Median": 0.5, "Q1": 0.25, "Q3": 0.75}, BIN, CENTRE)
     # the distance of the rounded quartiles, not the rounded distance
     iqr = round_half_even(F.col("Q3"), 2) - round_half_even(F.col("Q1"), 2)
-    return joined.select(
+    return summary.select(
         "EduMaxLbl",
         recode(F.col("Generation"), fv.COHORT_DISPLAY).alias("Generation"),
         *[fixed_text(F.col(c)).alias(c) for c in ("Median", "Q1", "Q3", "Mean", "sd")],

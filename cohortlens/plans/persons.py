@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import age_at, cohort, date_between, education_group, in_study_cohort, matches
+from ..functions.scalars import age_at, cohort, date_between, education_group, in_study_cohort, matches_code
 from ..operators.aggregates import count_by
 
 
@@ -31,7 +31,8 @@ def with_ages(episodes: DataFrame) -> DataFrame:
 def ever_married() -> Column:
     """Aggregate: 1 if any known status counts as married once, 0 if none, null if none is known."""
     status = F.col("MaritalStatus")
-    return F.max(F.when(status.isNotNull(), matches(status, fv.EVER_MARRIED_PATTERN).cast("int")))
+    married = matches_code(status, fv.EVER_MARRIED_PATTERN, fv.EVER_MARRIED_CODES)
+    return F.max(F.when(status.isNotNull(), married.cast("int")))
 
 
 def first_known(col: str) -> Column:

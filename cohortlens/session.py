@@ -14,5 +14,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # no call-site record for every column expression: plans are built several times faster
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
