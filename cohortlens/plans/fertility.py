@@ -205,13 +205,15 @@ def lived_mask(episodes: DataFrame, y1: int = fv.LAST_YEAR) -> DataFrame:
     # all bits up to the last year: -1 has every bit set
     cut = F.greatest(F.lit(0), F.lit(BITS - 1) - newest)
     filled = F.when(newest >= 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), cut.cast("int"))).otherwise(0)
-    mask = F.when(F.col("Full"), F.col("SeenMask").bitwiseOR(filled)).otherwise(F.col("SeenMask"))
+    # no bit at all is null in the aggregate: all observed years may lie beyond the mask
+    seen = F.coalesce(F.col("SeenMask"), F.lit(0).cast("long"))
+    mask = F.when(F.col("Full"), seen.bitwiseOR(filled)).otherwise(seen)
     return women.filter(F.col("LastYear").isNotNull()).select(
         "IndividualId",
         "Full",
         cohort(F.col("DoB"), "left").alias("Generation"),
         F.when(F.col("Full"), F.col("EverMarried")).alias("EverMarried"),
-        F.coalesce(mask, F.lit(0).cast("long")).alias("Mask"),
+        mask.alias("Mask"),
     )
 
 
