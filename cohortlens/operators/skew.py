@@ -110,6 +110,20 @@ def salted_join(
     return salted.join(repeated, cond, how).drop("_salt", "_rsalt", *[b for _, b in pairs])
 
 
+def as_place(df: DataFrame, order: str) -> Column:
+    """A number that never falls where the order column rises."""
+    kind, col = dict(df.dtypes)[order], F.col(order)
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind == "string":
+        # the first six bytes as a number; equal beginnings stay in one run
+        start = F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0")
+        return F.conv(start, 16, 10).cast("double")
+    if kind.startswith("timestamp"):
+        return col.cast("timestamp").cast("double")
+    return col.cast("double")
+
+
 def order_blocks(df: DataFrame, by: Sequence[str], order: str, limit: int | None = None) -> DataFrame | None:
     """Number ``_block`` for each row: hot groups are cut into runs along ``order``, others are one run.
 
@@ -122,11 +136,8 @@ def order_blocks(df: DataFrame, by: Sequence[str], order: str, limit: int | None
         return None
     total = hot.agg(F.sum("_rows")).first()[0]
     blocks = min(MAX_BLOCKS, max(2, -(-total // rows_per_task(df, limit))))
-    kind = dict(df.dtypes)[order]
-    place = F.unix_date(order) if kind == "date" else F.col(order)
-    marked = mark_hot(df, by, hot).withColumn(
-        "_place", F.when(F.col("_rows").isNotNull(), place.cast("double"))
-    )
+    place = as_place(df, order)
+    marked = mark_hot(df, by, hot).withColumn("_place", F.when(F.col("_rows").isNotNull(), place))
     cutter = QuantileDiscretizer(
         numBuckets=blocks, inputCol="_place", outputCol="_cut", relativeError=0.1 / blocks, handleInvalid="keep"
     ).fit(marked.filter("_place IS NOT NULL").select("_place"))

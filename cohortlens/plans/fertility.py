@@ -30,7 +30,7 @@ from ..functions.scalars import (
 )
 from ..operators.columns import mask_cells
 from ..operators.reshape import pivot_values, replicate_rows
-from ..operators.skew import SMALL
+from ..operators.skew import SMALL, salted_join
 from ..operators.windows import running_total
 from .persons import analysis_persons, base_aggregates
 
@@ -67,14 +67,13 @@ def mothers_frame(episodes: DataFrame) -> DataFrame:
     return people.select("IndividualId", *attributes)
 
 
-def births(pregnancies: DataFrame, episodes: DataFrame) -> DataFrame:
+def births(pregnancies: DataFrame, episodes: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per live birth with the mother's cohort, state and education (null outside the full frame).
 
     The counts below do not use these rows; they weight deliveries instead.
     """
     live = live_deliveries(pregnancies)
-    mothers = mothers_frame(episodes)
-    joined = live.join(mothers, live["WomanId"] == mothers["IndividualId"]).drop("IndividualId")
+    joined = salted_join(live, mothers_frame(episodes), [("WomanId", "IndividualId")], "inner", limit)
     return replicate_rows(joined, multiplicity())
 
 

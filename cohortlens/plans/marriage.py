@@ -9,6 +9,7 @@ from ..functions import fixed_values as fv
 from ..functions.scalars import age_at, date_between, if_else, none_if_zero, percent, round_half_even, safe_divide
 from ..operators.skew import SMALL, salted_join
 from ..operators.windows import ref_value, share_within
+from ..sources.stage import materialize
 from .persons import analysis_persons
 
 def prop_ever(persons: DataFrame, by: tuple[str, ...] = ("Generation", "Sex", "EduMaxLbl")) -> DataFrame:
@@ -109,7 +110,12 @@ def mother_daughter_marriage(persons: DataFrame) -> DataFrame:
 
 def mother_daughter_pairs(persons: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per daughter of the last cohort with a followed mother, and the mother's age at the birth."""
-    women = persons.filter(F.col("Sex") == fv.FEMALE)
+    # both sides and the search for hot mothers use the same persons: fold the episodes once
+    women = materialize(
+        persons.filter(F.col("Sex") == fv.FEMALE).select(
+            "IndividualId", "MotherId", "DoB", "Generation", "EverMarried", "EduMaxLbl"
+        )
+    )
     mothers = women.select(
         F.col("IndividualId").alias("_mother"), F.col("DoB").alias("MotherDoB"),
         F.col("EverMarried").alias("MotherEverMarried"), "EduMaxLbl",

@@ -40,8 +40,15 @@ def test_hot_groups(skewed):
     assert K.hot_groups(skewed, ["k"], K.SMALL) is None
 
 
-@pytest.mark.parametrize("order", [["o", "i"], ["d", "i"]])
+@pytest.mark.parametrize("order", [["o", "i"], ["d", "i"], ["s", "i"], ["t", "i"], ["tn", "i"]])
 def test_fills(skewed, rows, order):
+    skewed = skewed.withColumns(
+        {
+            "s": F.concat(F.lit("n"), F.col("o").cast("string")),
+            "t": F.timestamp_seconds(F.col("o") * 5000),
+            "tn": F.timestamp_seconds(F.col("o") * 5000).cast("timestamp_ntz"),
+        }
+    )
     both(lambda n: W.fill_up(skewed, ["k"], order, ["v", "w"], n), rows)
     both(lambda n: W.fill_downup(skewed, ["k"], order, ["v", "w"], n), rows)
 
@@ -105,3 +112,9 @@ def test_setting(spark, skewed):
 def test_first_rows_are_cut_before_the_shuffle(skewed):
     plan = W.slice_first(skewed, ["k"], ["o", "i"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_hot_rows_are_marked_without_a_shuffle(skewed):
+    marked = K.mark_hot(skewed, ["k"], K.hot_groups(skewed, ["k"], SPLIT))
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
