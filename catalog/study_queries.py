@@ -65,11 +65,11 @@ def relative_to_matric(spark, sf):
 
 
 def mother_daughter_marriage(spark, sf):
-    return rounded(M.mother_daughter_marriage(P.analysis_persons(episodes(spark, sf))), "share")
+    return rounded(M.mother_daughter_marriage(P.analysis_persons(P.women_only(episodes(spark, sf)))), "share")
 
 
 def mother_daughter_pairs(spark, sf):
-    pairs = M.mother_daughter_pairs(P.analysis_persons(episodes(spark, sf)))
+    pairs = M.mother_daughter_pairs(P.analysis_persons(P.women_only(episodes(spark, sf))))
     return rounded(pairs, "AgeAtBirth")
 
 

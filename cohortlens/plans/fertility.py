@@ -32,7 +32,7 @@ from ..operators.columns import mask_cells
 from ..operators.reshape import pivot_values, replicate_rows
 from ..operators.skew import SMALL, salted_join
 from ..operators.windows import running_total
-from .persons import analysis_persons, base_aggregates
+from .persons import analysis_persons, base_aggregates, women_only
 
 BITS = 64
 AGE_SPAN = {label: (lo, hi) for label, lo, hi in zip(fv.AGE_LABELS, fv.AGE_BREAKS, fv.AGE_BREAKS[1:])}
@@ -118,7 +118,7 @@ def births_by_agegroup(pregnancies: DataFrame, episodes: DataFrame) -> DataFrame
 
 
 def cohort_women(episodes: DataFrame) -> DataFrame:
-    return episodes.filter((F.col("Sex") == fv.FEMALE) & date_between(F.col("DoB"), *fv.ALL_COHORTS_WINDOW))
+    return women_only(episodes).filter(date_between(F.col("DoB"), *fv.ALL_COHORTS_WINDOW))
 
 
 def _lived(year: Column) -> Column:
@@ -342,7 +342,7 @@ def teen_birth_share(pregnancies: DataFrame, episodes: DataFrame, age: int = fv.
     firsts = pregnancies.filter(F.col("BirthOrder") == 1).groupBy("WomanId").agg(
         F.count_if(young).alias("_yes"), F.count_if(~young).alias("_no")
     )
-    mothers = analysis_persons(episodes).filter(F.col("Sex") == fv.FEMALE).select("IndividualId", "Generation")
+    mothers = analysis_persons(women_only(episodes)).select("IndividualId", "Generation")
     joined = firsts.join(mothers, firsts["WomanId"] == mothers["IndividualId"], "left")
     sums = joined.groupBy("Generation").agg(
         none_if_zero(F.sum("_yes")).alias("under"), none_if_zero(F.sum("_no")).alias("over")

@@ -16,7 +16,7 @@ from ..operators.aggregates import (
     value_counts,
 )
 from .fertility import with_age_at_birth
-from .persons import analysis_persons
+from .persons import analysis_persons, women_only
 
 AGE_LIMITS = (12, 25)  # fixed values: from (included), to (not included)
 BIN = 1 / 64  # ages: 832 bins between the limits
@@ -34,8 +34,7 @@ def first_births(pregnancies: DataFrame, episodes: DataFrame) -> DataFrame:
         (F.col("AgeAtBirth") < hi) & (F.col("AgeAtBirth") >= lo)
     )
     folded = firsts.groupBy("WomanId", "AgeAtBirth").agg(F.count(F.lit(1)).alias("_records"))
-    mothers = analysis_persons(episodes).filter(F.col("Sex") == fv.FEMALE)
-    mothers = mothers.select("IndividualId", "EduMaxLbl", "Generation")
+    mothers = analysis_persons(women_only(episodes)).select("IndividualId", "EduMaxLbl", "Generation")
     return folded.join(mothers, folded["WomanId"] == mothers["IndividualId"]).drop("IndividualId")
 
 

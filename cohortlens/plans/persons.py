@@ -94,9 +94,14 @@ def cohort_sizes(persons: DataFrame) -> DataFrame:
     return count_by(persons, "Generation")
 
 
+def women_only(episodes: DataFrame) -> DataFrame:
+    """Rows of women. Sex does not change in a person, so restricting rows restricts persons."""
+    return episodes.filter(F.col("Sex") == fv.FEMALE)
+
+
 def last_cohort_women(episodes: DataFrame) -> DataFrame:
     """Rows of women born within the last cohort's window (plain comparisons, pushed to the scan)."""
-    return episodes.filter((F.col("Sex") == fv.FEMALE) & date_between(F.col("DoB"), *fv.LAST_COHORT_WINDOW))
+    return women_only(episodes).filter(date_between(F.col("DoB"), *fv.LAST_COHORT_WINDOW))
 
 
 def observed_before(episodes: DataFrame, age: float = 15) -> DataFrame:

@@ -10,6 +10,8 @@ from ..functions.scalars import in_study_cohort, percent, recode
 from ..operators.aggregates import count_by
 from .persons import analysis_persons, ever_married, finish_persons, first_known
 
+BITS = 64
+
 
 def _head_rows(episodes: DataFrame) -> DataFrame:
     """Rows as head of a household, with a known marital status as in the person frames."""
@@ -17,15 +19,34 @@ def _head_rows(episodes: DataFrame) -> DataFrame:
     return rows.filter(F.col("HHRelation") == fv.HOUSEHOLD_HEAD)
 
 
+def _years_where(cond: Column) -> Column:
+    """Aggregate: the years with such a row, as bits of the 64 years of the group."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("Bit"))
+    return F.bit_or(F.when(cond, bit))
+
+
+def _count_years(years: str, but_not: str | None = None) -> Column:
+    mask = F.coalesce(F.col(years), F.lit(0).cast("long"))
+    if but_not is not None:
+        mask = mask.bitwiseAND(F.bitwise_not(F.coalesce(F.col(but_not), F.lit(0).cast("long"))))
+    return F.sum(F.bit_count(mask).cast("long"))
+
+
 def persons_with_years(episodes: DataFrame) -> DataFrame:
     """Persons with their number of observed years, years non-resident and years employed.
 
-    Rows are folded per person and year, and the years per person: maxima of yearly maxima
-    are the person's own, so the person frame comes from the same pass.
+    A person's years are kept as bits, one group for each span of 64 calendar years, so the
+    rows of a person fold to one or two rows before the shuffle however many years they cover.
+    The highest residence code of a year is 1 if one row has it and none a higher one; the
+    lowest employment code is one of the employed ones if a row has one and none a lower code.
     """
     known = F.col("MaritalStatus").isNotNull()
-    rows = episodes.filter(in_study_cohort(F.col("DoB"))).withColumn("Year", F.year("StartDate"))
-    yearly = rows.groupBy("IndividualId", "Year").agg(
+    away, work = F.col("NonResident"), F.col("CurrentlyEmployed")
+    codes = list(fv.EMPLOYMENT_LABELS)
+    rows = episodes.filter(in_study_cohort(F.col("DoB"))).withColumns(
+        {"Span": F.floor(F.year("StartDate") / BITS), "Bit": F.year("StartDate") % BITS}
+    )
+    spans = rows.groupBy("IndividualId", "Span").agg(
         F.min("DoB").alias("DoB"),
         first_known("Sex").alias("Sex"),
         F.min(F.when(known, F.col("Episode"))).alias("FirstKnown"),
@@ -33,21 +54,24 @@ def persons_with_years(episodes: DataFrame) -> DataFrame:
         F.max("EducationObsDate").alias("EduLastSeen"),
         F.max("StartDate").alias("LastSeen"),
         ever_married().alias("EverMarried"),
-        F.max(F.when(known, F.col("NonResident"))).alias("NonResident"),
-        F.min(F.when(known, F.col("CurrentlyEmployed"))).alias("Employment"),
+        _years_where(known & away.isNotNull()).alias("Residence"),
+        _years_where(known & (away == 1)).alias("Away"),
+        _years_where(known & (away > 1)).alias("OtherAway"),
+        _years_where(known & work.isNotNull()).alias("Employment"),
+        _years_where(known & work.isin(codes)).alias("Employed"),
+        _years_where(known & (work < min(codes))).alias("OtherWork"),
     )
-    employed = F.col("Employment").isin(*fv.EMPLOYMENT_LABELS)
-    folded = yearly.groupBy("IndividualId").agg(
+    folded = spans.groupBy("IndividualId").agg(
         F.min("DoB").alias("DoB"),
         F.min_by("Sex", "FirstKnown").alias("Sex"),
         F.max("EduMax").alias("EduMax"),
         F.max("EduLastSeen").alias("EduLastSeen"),
         F.max("LastSeen").alias("LastSeen"),
         F.max("EverMarried").alias("EverMarried"),
-        F.count_if(F.col("NonResident") == 1).alias("YearsAway"),
-        F.count("NonResident").alias("YearsResidence"),
-        F.count_if(employed).alias("YearsEmployed"),
-        F.count("Employment").alias("YearsEmployment"),
+        _count_years("Away", but_not="OtherAway").alias("YearsAway"),
+        _count_years("Residence").alias("YearsResidence"),
+        _count_years("Employed", but_not="OtherWork").alias("YearsEmployed"),
+        _count_years("Employment").alias("YearsEmployment"),
     )
     return finish_persons(folded).filter(F.col("Followed"))
 

@@ -59,10 +59,10 @@ EPISODE = {
     "NonResident": "CAST(CASE WHEN (k * 3 + r) % 3 = 0 THEN 1 ELSE 0 END AS INT)",
 }
 
-# columns from a woman's key ``id`` and the number ``i`` of her pregnancy
+# columns from a woman's key ``id``, her nation ``nation`` and the number ``i`` of her pregnancy
 PREGNANCY_DAYS = {
     "MotherDoB": PERSON["DoB"],
-    "off": "4745 + id * 911 % 3701 + (i - 1) * (450 + id * 577 % 1301)",
+    "off": "4745 + (id * 911 + nation) % 3701 + (i - 1) * (450 + id * 577 % 1301)",
     "q": "id * 31 + i * 17",
     "n_preg": "((id * 2689 + 17) % 1013) % 8",
 }
@@ -105,8 +105,8 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pregnancies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    women = load(spark, sf_dir, "customer").selectExpr("c_custkey AS id").filter("id % 2 = 0")
-    numbered = women.selectExpr("id", "id AS WomanId", "explode(sequence(1, 7)) AS i")
+    women = load(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS nation")
+    numbered = women.filter("id % 2 = 0").selectExpr("id", "nation", "id AS WomanId", "explode(sequence(1, 7)) AS i")
     placed = numbered.selectExpr("*", *named(PREGNANCY_DAYS)).filter("i <= n_preg")
     dated = placed.selectExpr("*", *named(PREGNANCY)).filter("DDate < DATE '2019-01-01'")
     return dated.select(*PREGNANCY_COLUMNS)
