@@ -17,8 +17,8 @@ from . import fixed_values as fv
 def decimal_date(d: Column) -> Column:
     """A date as a fractional year: the year plus the share of it that has passed."""
     year = F.year(d)
-    days_in_year = F.dayofyear(F.make_date(year, F.lit(12), F.lit(31)))
-    return year + (F.dayofyear(d) - 1) / days_in_year
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return year + (F.dayofyear(d) - 1) / F.when(leap, 366).otherwise(365)
 
 
 def age_at(d: Column, born: Column) -> Column:
@@ -76,7 +76,18 @@ def cut_date(col: Column, breaks: Sequence[str], labels: Sequence[str]) -> Colum
 
 
 def age_group(age: Column) -> Column:
-    return cut_numeric(age, fv.AGE_BREAKS, fv.AGE_LABELS)
+    """``cut_numeric`` with the age breaks, which are all multiples of the group width.
+
+    The label is looked up by the number of the five-year step, so that a computed age is
+    evaluated once and not again for each bin. Outside the steps the lookup gives null.
+    """
+    width = fv.AGE_GROUP_WIDTH
+    steps = [
+        label
+        for label, lo, hi in zip(fv.AGE_LABELS, fv.AGE_BREAKS, fv.AGE_BREAKS[1:])
+        for _ in range((hi - lo) // width)
+    ]
+    return F.get(F.array(*[F.lit(label) for label in steps]), F.ceil(age / width).cast("int") - 1)
 
 
 def cohort(born: Column, closed: str = "study") -> Column:

@@ -53,10 +53,9 @@ def multiplicity() -> Column:
 def live_deliveries(pregnancies: DataFrame) -> DataFrame:
     """Deliveries that count as births, with the age group."""
     dated = with_age_at_birth(pregnancies.filter(F.col("DDate") > F.to_date(F.lit(fv.BIRTHS_AFTER))))
-    live = dated.filter(
-        (F.col("AgeAtBirth") > 15) & (F.col("AgeAtBirth") < 50) & matches(F.col("Outcome"), fv.LIVE_BIRTH_PATTERN)
-    )
-    return live.withColumn("Agegroup", age_group(F.col("AgeAtBirth")))
+    live = dated.filter(matches(F.col("Outcome"), fv.LIVE_BIRTH_PATTERN) & (F.col("AgeAtBirth") < 50))
+    grouped = live.withColumn("Agegroup", age_group(F.col("AgeAtBirth")))
+    return grouped.filter(F.col("Agegroup").isin(fv.FERTILE_AGES))
 
 
 def mothers_frame(episodes: DataFrame) -> DataFrame:

@@ -108,5 +108,8 @@ def pregnancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     women = load(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_nationkey AS nation")
     numbered = women.filter("id % 2 = 0").selectExpr("id", "nation", "id AS WomanId", "explode(sequence(1, 7)) AS i")
     placed = numbered.selectExpr("*", *named(PREGNANCY_DAYS)).filter("i <= n_preg")
-    dated = placed.selectExpr("*", *named(PREGNANCY)).filter("DDate < DATE '2019-01-01'")
+    # the generator makes plain columns of the formulas, as if they were read from a file;
+    # otherwise they would be repeated inside every later condition on a delivery date
+    columns = ", ".join(["WomanId", "MotherDoB", *named(PREGNANCY)])
+    dated = placed.selectExpr(f"inline(array(struct({columns})))").filter("DDate < DATE '2019-01-01'")
     return dated.select(*PREGNANCY_COLUMNS)

@@ -21,6 +21,9 @@ def test_decimal_date(spark):
     got = values(spark, days("2000-07-01", "2001-07-01", "1999-12-31", "2001-01-01", None), "date", S.decimal_date)
     assert got[:4] == pytest.approx([2000.497268, 2001.495890, 1999.997260, 2001.0], abs=1e-6)
     assert got[4] is None
+    leap = days("1900-12-31", "2000-12-31", "2004-12-31", "2100-12-31")
+    ends = [1900 + 364 / 365, 2000 + 365 / 366, 2004 + 365 / 366, 2100 + 364 / 365]
+    assert values(spark, leap, "date", S.decimal_date) == ends
 
 
 def test_if_else_unknown_condition(spark):
@@ -47,6 +50,12 @@ def test_age_bins_closed_right(spark):
     ]
 
 
+def test_age_group_is_the_numeric_cut(spark):
+    ages = [x for b in fv.AGE_BREAKS for x in (b - 2.3e-13, float(b), b + 2.3e-13, b + 1 / 366, b - 1 / 365, b + 2.5)]
+    cut = values(spark, ages, "double", lambda c: S.cut_numeric(c, fv.AGE_BREAKS, fv.AGE_LABELS))
+    assert values(spark, ages, "double", S.age_group) == cut
+
+
 COHORT_EDGES = days(
     "1945-01-01", "1945-01-02", "1964-12-31", "1965-01-01", "1984-12-31", "1985-01-01", "1985-01-02", "1994-12-31",
     "1995-01-01", None,
