@@ -58,8 +58,10 @@ def with_matric(women: DataFrame) -> DataFrame:
     Needs an observation in one of the two grades before, not too long before; a later one is
     let through.
     """
-    finished, before = mid_december_before(F.col("Matric12")), mid_december_before(F.col("Grade11"))
-    near = (decimal_date(finished) - decimal_date(before)) < fv.MATRIC_GAP_YEARS
+    finished = mid_december_before(F.col("Matric12"))
+    # both dates are a 15 December, so their distance in years is the difference of the years
+    # but for a ten-thousandth (leap years), which the limit of 2.1 does not see
+    near = F.year("Matric12") - F.year("Grade11") < fv.MATRIC_GAP_YEARS
     return women.withColumn("DateMatric", F.when(near, finished)).withColumn(
         "AgeMatric", age_at(F.col("DateMatric"), F.col("DoB"))
     )
@@ -90,7 +92,8 @@ def with_union_before(women: DataFrame) -> DataFrame:
     """Age and date of a union already there in the first known status, before birth and matric."""
     date = F.col("FirstStatus.StartDate")
     age = age_at(date, F.col("DoB"))
-    before = ~F.col("FirstStatus.single") & (age < F.col("AgeAnyFirstBirth")) & (age < F.col("AgeMatric"))
+    # of two dates in one life the earlier is the one at the lower age
+    before = ~F.col("FirstStatus.single") & (date < F.col("DateMatric")) & (age < F.col("AgeAnyFirstBirth"))
     return women.withColumns({"UnionBeforeDate": F.when(before, date), "UnionBeforeAge": F.when(before, age)})
 
 
@@ -104,7 +107,7 @@ def women_with_events(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:
 def matric_age(episodes: DataFrame) -> DataFrame:
     return (
         with_matric(women_observed(episodes))
-        .filter(F.col("AgeMatric").isNotNull())
+        .filter(F.col("DateMatric").isNotNull())
         .select("IndividualId", "DateMatric", "AgeMatric")
     )
 
@@ -112,7 +115,7 @@ def matric_age(episodes: DataFrame) -> DataFrame:
 def first_union(episodes: DataFrame) -> DataFrame:
     return (
         with_union_from_single(women_observed(episodes))
-        .filter(F.col("UnionSeenAge").isNotNull())
+        .filter(F.col("UnionSeenDate").isNotNull())
         .select("IndividualId", F.col("UnionSeenAge").alias("AgeAtUnion"), F.col("UnionSeenDate").alias("UnionDate"))
     )
 
@@ -120,7 +123,7 @@ def first_union(episodes: DataFrame) -> DataFrame:
 def union_left_censored(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:
     return (
         women_with_events(episodes, pregnancies)
-        .filter(F.col("UnionBeforeAge").isNotNull())
+        .filter(F.col("UnionBeforeDate").isNotNull())
         .select("IndividualId", F.col("UnionBeforeAge").alias("AgeAtUnion"), F.col("UnionBeforeDate").alias("UnionDate"))
     )
 
@@ -150,11 +153,8 @@ def event_order_table(events: DataFrame) -> DataFrame:
 
 
 def order_class(fallback: str = fv.FALLBACK_ORDER) -> Column:
-    """Code of the event order; ties go to the fallback, an unknown age gives null."""
-    known = F.lit(True)
-    for age in AGES.values():
-        known = known & F.col(age).isNotNull()
-    chain = F.when(~known, None)
+    """Code of the event order of a woman with all ages known; ties go to the fallback."""
+    chain = F
     for code, *order in fv.EVENT_ORDERS:
         if code != fallback:
             chain = chain.when(_strictly(*order), code)
@@ -163,7 +163,9 @@ def order_class(fallback: str = fv.FALLBACK_ORDER) -> Column:
 
 def event_order_medians(events: DataFrame) -> DataFrame:
     """Median age at each event per order class, long form."""
-    classed = events.withColumn("Order", order_class()).filter(F.col("Order").isNotNull())
+    # women with an unknown age have no class; a test on the class itself would repeat its
+    # whole expression in a filter
+    classed = events.dropna(subset=list(AGES.values())).withColumn("Order", order_class())
     ages = {"MedianBirth": "AgeFirstBirth", "MedianUnion": "AgeAtUnion", "MedianMatric": "AgeMatric"}
     named = classed.select("Order", *[F.col(age).alias(name) for name, age in ages.items()])
     long = pivot_longer(named, list(ages), "Event", "value")

@@ -22,6 +22,7 @@ from ..functions.scalars import (
     cohort,
     date_between,
     decimal_date,
+    in_study_cohort,
     matches,
     none_if_zero,
     recode,
@@ -143,7 +144,7 @@ def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:
     full = (
         F.col("EduMax").isNotNull()
         & F.col("EverMarried").isNotNull()
-        & (cohort(F.col("DoB")) != fv.OTHER_COHORT)
+        & in_study_cohort(F.col("DoB"))
         & (age_at(F.col("EduLastSeen"), F.col("DoB")) >= fv.MIN_AGE_EDUCATION_SEEN)
         & (age_at(F.col("LastSeen"), F.col("DoB")) >= fv.MIN_AGE_LAST_SEEN)
     )

@@ -55,3 +55,15 @@ def test_rows_are_combined_before_the_person_exchange(spark):
         text = plan(spark, name)
         exchange = text.index("Exchange hashpartitioning(IndividualId")
         assert re.search(r"Aggregate\(keys=\[IndividualId", text[exchange:])
+
+
+@pytest.mark.parametrize("name", ["births", "asfr_by_marital", "life_events", "event_order_medians", "first_birth_report"])
+def test_generated_methods_can_be_compiled(spark, name):
+    """The JVM leaves methods above 8000 bytes to the interpreter, many times slower."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        executed = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(executed)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
