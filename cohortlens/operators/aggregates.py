@@ -165,32 +165,43 @@ def anova_oneway(df: DataFrame, y: str, g: str, by: Sequence[str] = ()) -> DataF
     return anova_from_cells(cell_moments(df, [*by, g], y), by)
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
-    m = np.arange(200 + int(4 * sqrt(max(a, b))), 0, -1, dtype=float)
-    even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-    odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-    tail = 1.0
-    for e, o in zip(even, odd):
-        tail = 1.0 + e / tail
-        tail = 1.0 + o / tail
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
-    return front / (a * tail)
+def _beta_function():
+    """The function is made inside another, so that it is sent to the workers by value: they
+    need not have this package installed."""
+
+    def incomplete_beta(a: float, b: float, x: float) -> float:
+        """Regularised incomplete beta function, by its continued fraction."""
+        if x <= 0.0 or x >= 1.0:
+            return min(max(x, 0.0), 1.0)
+        if x > (a + 1) / (a + b + 2):
+            return 1.0 - incomplete_beta(b, a, 1.0 - x)
+        m = np.arange(200 + int(4 * sqrt(max(a, b))), 0, -1, dtype=float)
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        tail = 1.0
+        for e, o in zip(even, odd):
+            tail = 1.0 + e / tail
+            tail = 1.0 + o / tail
+        front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x))
+        return front / (a * tail)
+
+    return incomplete_beta
+
+
+_incomplete_beta = _beta_function()
 
 
 def f_tail(f: str, df_between: str, df_within: str) -> Column:
     """P(F > f). Two numerator degrees of freedom have a closed form; the rest is a small Python step."""
 
+    beta = _incomplete_beta
+
     @F.pandas_udf("double")
     def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
         def one(v, a, b):
             if pd.isna(v) or a < 1 or b < 1:
                 return None
-            return _incomplete_beta(b / 2, a / 2, b / (b + a * v))
+            return beta(b / 2, a / 2, b / (b + a * v))
 
         return pd.Series([one(*t) for t in zip(f, d1, d2)], dtype="float64")
 
