@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Sequence
+from typing import Any
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,16 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(spark: SparkSession, value: Any) -> Broadcast:
+    """A value of bounded size for all tasks, with the classes of this package that it is made of."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(value: Broadcast) -> Any:
+    """The value of :func:`sent`, unpacked; call it once per task."""
+    return cloudpickle.loads(value.value)
+
+
 def row_hash(df: DataFrame, columns: Sequence[str], seed: int) -> Column:
     """A 64-bit hash of a row's columns; null and empty differ."""
     kinds = dict(df.dtypes)
