@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, quality, sharding, simhash, toxicity
-from .common import table
+from . import decontamination, mixing, pii, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
+from .common import shared_folder, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, rows.filter(f"vec_id % {topk.EVERY} = 0"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_archives(spark, path))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -67,12 +80,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("removed").alias("n_removed"), "removed", "kept_text")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_sharding": op2_sharding,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
+    "op10_substring_dedup": op10_substring_dedup,
 }

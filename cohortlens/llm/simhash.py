@@ -206,18 +206,30 @@ def near_duplicates(
     keep = without(docs.columns if carry is None else carry, fingerprint, component)
     [fp] = fresh([*keep, component], "fp")
     marked = written(with_fingerprints(docs, text, width, fp, keep), "fingerprints")
-    found = classes(marked, fp, key, radius).toDF(fp, component)
+    found = classes(marked, fp, F.col(f"`{key}`"), radius).toDF(fp, component)
     return marked.join(found, fp).select(*[f"`{c}`" for c in keep], F.col(fp).alias(fingerprint), component)
 
 
-def classes(marked: DataFrame, fp: str, key: str, radius: int = RADIUS) -> DataFrame:
-    """For each fingerprint (column ``fp``) the smallest key of its component: rows (fp, component)."""
-    nodes = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(f"`{key}`").alias("least"))
+def classes(marked: DataFrame, fp: str, least: Column, radius: int = RADIUS) -> DataFrame:
+    """For each fingerprint (column ``fp``) the minimum ``least`` of its component: rows (fp, component)."""
+    nodes = marked.groupBy(F.col(fp).alias("fp")).agg(F.min(least).alias("least"))
     stars = components(links(nodes.select("fp"), radius))
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rooted.join(lowest, "root").select("fp", "component")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest key (nulls last; any one of equals).
+
+    Rows are numbered as they are written with their fingerprints, and found again by number.
+    """
+    fp, row = fresh(docs.columns, "fp", "row")
+    marked = written(with_fingerprints(docs, text, width, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    order = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col(row).alias("row"))
+    first = classes(marked.select(fp, f"`{key}`", row), fp, order, radius).select(F.col("component.row").alias(row)).distinct()
+    return marked.join(first, row, "left_semi").drop(fp, row)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,15 @@ from pyspark.sql import functions as F
 from .common import fresh, received, sent, without
 
 #: Bounds of the sample that the model is fitted to: labelled documents, and their characters.
-SAMPLE_DOCS = 12_000
-SAMPLE_CHARS = 30_000_000
+SAMPLE_DOCS = 8_000
+SAMPLE_CHARS = 24_000_000
+LEAST_WORDS = 5  # of a sentence
 LEAST_DOCS = 3  # documents of the sample that must hold a feature
-ROUNDS = 80
+ROUNDS = 60
 RATE = 0.5
-DECAY = 1e-6
+DECAY = 0.03  # of a document, by which each weight is drawn to zero
+#: A sentence starts this much (in logits) below an even share of the toxic documents, so that long clean texts stay low.
+HEADROOM = 3.0
 OFFENDING = 0.5
 #: Words whose weights a task remembers.
 REMEMBERED = 200_000
@@ -45,11 +49,20 @@ def features(word: str) -> list[str]:
 
 
 def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
-    """Start, end and distinct words of each sentence that has any."""
+    """Start, end and distinct words of each sentence that has any; fragments are joined up to LEAST_WORDS words."""
+    start, end, words, count = 0, 0, set(), 0
     for m in SENTENCE.finditer(text):
-        words = set(WORDS.findall(m.group().lower()))
-        if words:
-            yield m.start(), m.end(), words
+        found = WORDS.findall(m.group().lower())
+        if not found:
+            continue
+        start = start if words else m.start()
+        end, count = m.end(), count + len(found)
+        words.update(found)
+        if count >= LEAST_WORDS:
+            yield start, end, words
+            words, count = set(), 0
+    if words:
+        yield start, end, words
 
 
 def bounded_sample(labelled: DataFrame, text: str, key: str, docs: int, chars: int, seed: int = 42) -> DataFrame:
@@ -104,8 +117,8 @@ def softplus(z: float) -> float:
 def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Weights by gradient ascent (Adagrad) on the likelihood of the documents' labels under noisy-or."""
     numbers: dict[str, int] = {}
-    words, sentences, documents = [], [], []
-    seen: list[int] = []  # documents that hold a word
+    words, sentences, documents = array("i"), array("i"), array("i")
+    seen = array("i")  # documents that hold a word
     for text in texts:
         own: set[int] = set()
         count = 0
@@ -125,10 +138,12 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
         return Model(math.log(share / (1 - share)), {})
     holders = np.bincount(np.array(seen), minlength=len(numbers))
     names: dict[str, int] = {}
-    lists = [[names.setdefault(f, len(names)) for f in features(w)] for w in numbers]
-    lengths = np.array([len(x) for x in lists])
-    flat = np.array([f for x in lists for f in x], np.int32)
-    del lists
+    flat, lengths = array("i"), array("i")
+    for w in numbers:
+        ids = [names.setdefault(f, len(names)) for f in features(w)]
+        flat.extend(ids)
+        lengths.append(len(ids))
+    flat, lengths = np.array(flat, np.int32), np.array(lengths, np.int64)
     of_word = np.repeat(np.arange(len(numbers), dtype=np.int32), lengths)
     # words that share a feature may share documents too: an upper bound of its documents
     enough = np.bincount(flat, np.repeat(holders, lengths), minlength=len(names)) >= LEAST_DOCS
@@ -138,9 +153,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     first_word = np.concatenate([[0], np.cumsum(sentences)[:-1]])
     first_sentence = np.concatenate([[0], np.cumsum(documents)[:-1]])
     sentences = np.array(sentences)
-    weights, squares = np.zeros(len(names)), np.full(len(names), 1e-8)
+    weights, squares = np.zeros(len(names)), np.full(len(names), 1e-3)
     share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    bias, bias_squares = math.log(share / documents.mean()), 1e-8
+    bias, bias_squares = math.log(share / documents.mean()) - HEADROOM, 1e-3
     for _ in range(rounds):
         by_word = np.bincount(of_word, weights[flat], minlength=len(numbers))
         z = bias + np.add.reduceat(by_word[words], first_word)
@@ -150,12 +165,20 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
         blame = np.where(y == 1, np.exp(clean) / np.maximum(p, 1e-12), -1.0)
         slope = np.repeat(blame, documents) / (1 + np.exp(-np.clip(z, -60, 60)))
         up = np.bincount(words, np.repeat(slope, sentences), minlength=len(numbers))
-        gradient = np.bincount(flat, up[of_word], minlength=len(names)) / len(y) - DECAY * weights
+        gradient = np.bincount(flat, up[of_word], minlength=len(names)) - DECAY
         squares += gradient**2
-        weights += RATE * gradient / np.sqrt(squares)
-        push = slope.sum() / len(y)
+        weights = np.maximum(weights + RATE * gradient / np.sqrt(squares), 0)
+        push = slope.sum()
         bias_squares += push**2
         bias += RATE * push / math.sqrt(bias_squares)
+    # the bias moves slowly among so many weights: the likeliest one for these weights
+    z = np.add.reduceat(np.bincount(of_word, weights[flat], minlength=len(numbers))[words], first_word)
+
+    def likelihood(b: float) -> float:
+        clean = -np.add.reduceat(np.logaddexp(0, z + b), first_sentence)
+        return float(np.where(y == 1, np.log(np.maximum(-np.expm1(clean), 1e-12)), clean).sum())
+
+    bias = max((bias + d for d in np.linspace(-3, 3, 25)), key=likelihood)
     names_of = list(names)
     return Model(bias, {names_of[i]: float(weights[i]) for i in np.flatnonzero(np.abs(weights) > 1e-3)})
 
