@@ -8,7 +8,9 @@ from compare import compare, connect
 import __spark_entry__ as entry_points
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+# queries of an optional folder have their own tests
+QUERIES = {n: q for n, q in entry_points.queries().items() if n not in entry_points.LLM_QUERIES}
+SQL = {n: q for n, q in entry_points.oracle_sql().items() if n not in entry_points.LLM_SQL}
 
 
 @pytest.fixture(scope="module")
