@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import fresh, received, sent, without
 from .toxicity import bounded_sample
 
-SAMPLE_DOCS = 8_000
-SAMPLE_CHARS = 20_000_000
+SAMPLE_DOCS = 4_000
+SAMPLE_CHARS = 12_000_000
 LEAST_DOCS = 5
 SMOOTH = 1.0
 COST = 0.1
@@ -141,14 +141,21 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     y = np.where(np.asarray(labels) == 1, 1, -1)
     if len(set(y.tolist())) < 2:
         return Model({}, float(y[0]) if len(y) else 0.0, 1.0, 0.0)
-    shapes, counts = Shapes(), {}
-    found = [indicators(t, shapes) for t in texts]
-    for f in found:
-        for x in f:
-            counts[x] = counts.get(x, 0) + 1
+    shapes = Shapes()
+    # a first look counts by hash, so that the many rare n-grams take no memory of their own
+    rough = np.zeros(1 << 22, np.uint16)
+    for t in texts:
+        spots = np.unique(np.fromiter((hash(x) & (len(rough) - 1) for x in indicators(t, shapes)), np.int64))
+        rough[spots] += rough[spots] < LEAST_DOCS
+    frequent = rough >= LEAST_DOCS
+    counts: dict = {}
+    for t in texts:
+        for x in indicators(t, shapes):
+            if frequent[hash(x) & (len(rough) - 1)]:
+                counts[x] = counts.get(x, 0) + 1
     numbers = {x: i for i, x in enumerate(sorted((x for x, n in counts.items() if n >= LEAST_DOCS), key=repr))}
-    rows = [np.array(sorted(numbers[x] for x in f if x in numbers), np.int64) for f in found]
-    del found, counts
+    del counts
+    rows = [np.array(sorted(numbers[x] for x in indicators(t, shapes) if x in numbers), np.int64) for t in texts]
     apart = np.arange(len(rows)) % CALIBRATE == 0
     taught = [r for r, a in zip(rows, apart) if not a]
     scale = ratios(taught, y[~apart], len(numbers))
@@ -173,13 +180,9 @@ def train(
     the driver. Rows with a null key or label teach nothing; with labels of one class, or none, every
     score is that class's (or even).
     """
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(
-        F.col("y").isin(0, 1) & ~held_out(F.col("k"))
-    )
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL")
-    chosen = bounded_sample(texts.join(known, "k"), "t", "k", sample_docs, sample_chars)
-    rows = chosen.select("k", "t", "y").toArrow().sort_by([("k", "ascending"), ("t", "ascending"), ("y", "ascending")])
-    return fit(rows.column("t").to_pylist(), np.array(rows.column("y").to_pylist(), int))
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(~held_out(F.col("k")))
+    texts, y = bounded_sample(docs, known, text, key, sample_docs, sample_chars)
+    return fit(list(texts), y)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality") -> DataFrame:

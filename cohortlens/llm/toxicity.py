@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import fresh, received, sent, without
 
 #: Bounds of the sample that the model is fitted to: labelled documents, and their characters.
-SAMPLE_DOCS = 8_000
-SAMPLE_CHARS = 24_000_000
+SAMPLE_DOCS = 5_000
+SAMPLE_CHARS = 16_000_000
 LEAST_WORDS = 5  # of a sentence
 LEAST_DOCS = 3  # documents of the sample that must hold a feature
 ROUNDS = 60
@@ -65,13 +65,21 @@ def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
         yield start, end, words
 
 
-def bounded_sample(labelled: DataFrame, text: str, key: str, docs: int, chars: int, seed: int = 42) -> DataFrame:
-    """The first rows in a seeded order of their keys, up to so many rows and characters (both bounds fixed)."""
-    order, upto = fresh(labelled.columns, "order", "upto")
-    hashed = labelled.withColumn(order, F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(text)))
-    first = hashed.orderBy(order, key).limit(docs)
-    running = Window.orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn(upto, F.sum(F.length(text)).over(running)).filter(F.col(upto) <= chars).drop(order, upto)
+def bounded_sample(
+    docs: DataFrame, known: DataFrame, text: str, key: str, most_docs: int, most_chars: int, seed: int = 42
+) -> tuple[Iterator[str], np.ndarray]:
+    """Texts and labels (0 or 1) of the first ``known`` rows (k, y) in a seeded order, within both bounds.
+
+    Keys are chosen before their texts are looked up, so that only the sample's texts leave their
+    tasks. A key that several rows share counts with the rows that fit.
+    """
+    order = F.xxhash64(F.lit(seed), "k")
+    first = known.filter("k IS NOT NULL AND y IN (0, 1)").orderBy(order, "k", "y").limit(most_docs)
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).filter("t IS NOT NULL")
+    upto = Window.orderBy(order, "k", F.xxhash64("t"), "y").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = texts.join(first, "k").withColumns({"n": F.count(F.lit(1)).over(upto), "chars": F.sum(F.length("t")).over(upto)})
+    rows = numbered.filter((F.col("n") <= most_docs) & (F.col("chars") <= most_chars)).select("n", "t", "y").toArrow().sort_by("n")
+    return (t.as_py() for t in rows.column("t")), np.array(rows.column("y").to_pylist(), int)
 
 
 class Model:
@@ -114,7 +122,7 @@ def softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
+def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Weights by gradient ascent (Adagrad) on the likelihood of the documents' labels under noisy-or."""
     numbers: dict[str, int] = {}
     words, sentences, documents = array("i"), array("i"), array("i")
@@ -198,13 +206,8 @@ def train(
     the driver. Rows with a null key or label teach nothing; without labelled rows the model knows no
     words and every score is its prior.
     """
-    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(
-        F.col("y").isin(0, 1) & ~held_out(F.col("k"))
-    )
-    texts = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL")
-    chosen = bounded_sample(texts.join(known, "k"), "t", "k", sample_docs, sample_chars)
-    rows = chosen.select("k", "t", "y").toArrow().sort_by([("k", "ascending"), ("t", "ascending"), ("y", "ascending")])
-    return fit(rows.column("t").to_pylist(), np.array(rows.column("y").to_pylist(), int))
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(~held_out(F.col("k")))
+    return fit(*bounded_sample(docs, known, text, key, sample_docs, sample_chars))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
