@@ -125,7 +125,7 @@ def _tables(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chosen: np.n
 def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Patterns:
     """Search tables of (item id, text): the distinct windows, grouped by length up to a factor of two."""
     texts = [(t or "").encode() for _, t in items]
-    x = normalised(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]))
+    x = normalised(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64))
     x = np.concatenate([np.zeros(8, np.uint8), x, np.zeros(8, np.uint8)])
     buffer, at = x.tobytes(), word_starts(x)
     after = np.append(at[1:], len(x))  # where the next word starts; a text's last word ends before its END
