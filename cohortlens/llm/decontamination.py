@@ -58,7 +58,7 @@ def normalised(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     x = np.insert(LETTERS[data], np.repeat(ends, 2), np.tile(np.array([BLANK, END], np.uint8), len(ends)))
     word = x > BLANK
     after_word = np.empty_like(word)
-    after_word[0], after_word[1:] = False, word[:-1]
+    after_word[:1], after_word[1:] = False, word[:-1]
     return x[word | (after_word & (x == BLANK)) | (x == END)]
 
 
