@@ -28,7 +28,7 @@ def event_aggregates() -> dict[str, Column]:
     status, start, seen = F.col("MaritalStatus"), F.col("StartDate"), F.col("EducationObsDate")
     union = _in_union(status)
     young = age_at(seen, F.col("DoB")) < fv.LIFE_EVENT_AGE
-    # first row with a known status; among rows with the same number a union, and the latest, wins
+    # first row with a known status; its number is that of all rows looked at
     first_status = F.struct(
         F.col("Episode").alias("Episode"),
         (~union).alias("single"),
@@ -43,6 +43,8 @@ def event_aggregates() -> dict[str, Column]:
         # distinct days of one woman's life as single: bounded by the days under observation
         "SingleDays": F.collect_set(F.when(status == fv.SINGLE, start)),
         "FirstStatus": F.min(F.when(status.isNotNull(), first_status)),
+        # rows may share a number: each of their union dates may be the one before the other events
+        "UnionStarts": F.collect_set(F.when(union, F.struct(F.col("Episode").alias("Episode"), start.alias("StartDate")))),
     }
 
 
@@ -90,11 +92,14 @@ def first_births_of(pregnancies: DataFrame) -> DataFrame:
 
 def with_union_before(women: DataFrame) -> DataFrame:
     """Age and date of a union already there in the first known status, before birth and matric."""
-    date = F.col("FirstStatus.StartDate")
-    age = age_at(date, F.col("DoB"))
-    # of two dates in one life the earlier is the one at the lower age
-    before = ~F.col("FirstStatus.single") & (date < F.col("DateMatric")) & (age < F.col("AgeAnyFirstBirth"))
-    return women.withColumns({"UnionBeforeDate": F.when(before, date), "UnionBeforeAge": F.when(before, age)})
+    tied = F.filter("UnionStarts", lambda x: x["Episode"].eqNullSafe(F.col("FirstStatus.Episode")))
+    # of two dates in one life the earlier is the one at the lower age; of the rows that pass the latest counts
+    passing = F.filter(
+        F.transform(tied, lambda x: x["StartDate"]),
+        lambda d: (d < F.col("DateMatric")) & (age_at(d, F.col("DoB")) < F.col("AgeAnyFirstBirth")),
+    )
+    latest = women.withColumn("UnionBeforeDate", F.array_max(passing))
+    return latest.withColumn("UnionBeforeAge", age_at(F.col("UnionBeforeDate"), F.col("DoB")))
 
 
 def women_with_events(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:

@@ -121,15 +121,14 @@ def cohort_women(episodes: DataFrame) -> DataFrame:
     return women_only(episodes).filter(date_between(F.col("DoB"), *fv.ALL_COHORTS_WINDOW))
 
 
-def _lived(year: Column) -> Column:
-    """The year starts at birth or later and not after death.
+def _born(year: Column) -> Column:
+    """The year starts at birth or later.
 
-    The same as comparing with the dates as fractional years, in whole numbers: a year starts
-    after the birth date unless it is the year of birth (and the birth not on 1 January).
+    The same as comparing with the date as a fractional year, in whole numbers: a year starts after
+    the birth date unless it is the year of birth (and the birth not on 1 January).
     """
     born = F.col("DoB")
-    after_birth = (year > F.year(born)) | ((year == F.year(born)) & (F.dayofyear(born) == 1))
-    return after_birth & (F.col("DoD").isNull() | (year <= F.year("DoD")))
+    return (year > F.year(born)) | ((year == F.year(born)) & (F.dayofyear(born) == 1))
 
 
 def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:
@@ -159,8 +158,10 @@ def person_years(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST
     """
     year = F.year("StartDate")
     # distinct calendar years of one life: small however many rows a woman has
-    seen = {"Seen": F.collect_set(F.when(_lived(year), year))}
-    women = _women_folded(episodes, seen).filter(F.size("Seen") > 0)
+    seen = {"Seen": F.collect_set(F.when(_born(year), year))}
+    # the date of death may stand on some of a woman's rows only, so years after it go after the fold
+    alive = F.filter("Seen", lambda y: F.col("DoD").isNull() | (y <= F.year("DoD")))
+    women = _women_folded(episodes, seen).withColumn("Seen", alive).filter(F.size("Seen") > 0)
     born = F.ceil(decimal_date(F.col("DoB"))).cast("int")
     first, last = F.greatest(born, F.lit(y0)), F.least(F.array_max("Seen"), F.lit(y1))
     all_years = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
@@ -196,18 +197,28 @@ def lived_mask(episodes: DataFrame, y1: int = fv.LAST_YEAR) -> DataFrame:
     lo < k <= hi, whatever the day of birth, so age groups are bit ranges. The fertile ages
     end well below the 64 bits.
     """
-    k = F.year("StartDate") - F.year("DoB")
-    lived = _lived(F.year("StartDate"))
-    bit = F.when(lived & (k >= 0) & (k < BITS), _shifted(k))
-    women = _women_folded(episodes, {"SeenMask": F.bit_or(bit), "LastYear": F.max(F.when(lived, F.year("StartDate")))})
-    newest = F.least(F.col("LastYear"), F.lit(y1)) - F.year("DoB")
-    # all bits up to the last year: -1 has every bit set
-    cut = F.greatest(F.lit(0), F.lit(BITS - 1) - newest)
-    filled = F.when(newest >= 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), cut.cast("int"))).otherwise(0)
-    # no bit at all is null in the aggregate: all observed years may lie beyond the mask
-    seen = F.coalesce(F.col("SeenMask"), F.lit(0).cast("long"))
+    year = F.year("StartDate")
+    k, born = year - F.year("DoB"), _born(year)
+    masks = {
+        "SeenMask": F.bit_or(F.when(born & (k < BITS), _shifted(k))),
+        "LateMask": F.bit_or(F.when(born & (k >= BITS) & (k < 2 * BITS), _shifted(k - BITS))),
+    }
+    none = F.lit(0).cast("long")
+    # the date of death may stand on some of a woman's rows only: years are cut at it after the fold
+    died = F.coalesce(F.year("DoD") - F.year("DoB"), F.lit(2 * BITS))
+    women = _women_folded(episodes, masks).withColumns(
+        {
+            "SeenMask": F.coalesce(F.col("SeenMask"), none).bitwiseAND(_upto(died)),
+            "LateMask": F.coalesce(F.col("LateMask"), none).bitwiseAND(_upto(died - BITS)),
+        }
+    )
+    highest = F.when(F.col("LateMask") != 0, F.lit(BITS - 1) + F.length(F.bin("LateMask"))).when(
+        F.col("SeenMask") != 0, F.length(F.bin("SeenMask")) - 1
+    )
+    women = women.withColumn("Newest", highest)
+    seen, filled = F.col("SeenMask"), _upto(F.least(F.col("Newest"), F.lit(y1) - F.year("DoB")))
     mask = F.when(F.col("Full"), seen.bitwiseOR(filled)).otherwise(seen)
-    return women.filter(F.col("LastYear").isNotNull()).select(
+    return women.filter(F.col("Newest").isNotNull()).select(
         "IndividualId",
         "Full",
         cohort(F.col("DoB"), "left").alias("Generation"),
@@ -216,6 +227,12 @@ def lived_mask(episodes: DataFrame, y1: int = fv.LAST_YEAR) -> DataFrame:
     )
 
 
+def _upto(k: Column) -> Column:
+    """Bits 0..k, none for a negative k: -1 has every bit set."""
+    cut = F.greatest(F.lit(0), F.lit(BITS - 1) - k).cast("int")
+    return F.when(k >= 0, F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), cut)).otherwise(0)
+
+
 def _shifted(k: Column) -> Column:
     """1 shifted left by k as a 64-bit number."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))

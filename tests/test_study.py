@@ -211,6 +211,7 @@ def _year_people(spark):
         dict(IndividualId=2, DoB="1985-01-01", StartDate="2015-01-01"),
         dict(IndividualId=3, DoB="1980-07-01", DoD="2009-02-01", StartDate="2008-01-01"),
         dict(IndividualId=3, DoB="1980-07-01", DoD="2009-02-01", StartDate="2012-01-01"),  # after death
+        dict(IndividualId=3, DoB="1980-07-01", StartDate="2011-01-01"),  # after the death that other rows know
         dict(IndividualId=4, DoB="1950-01-01", StartDate="2016-01-01"),
         dict(IndividualId=5, Sex=1),
         dict(IndividualId=6, DoB="1992-05-05", StartDate="2013-01-01", EducationObsDate="2013-01-01"),  # 20 when last seen
@@ -398,6 +399,9 @@ def test_union_left_censored(spark, rows):
     # rows with the same number are all looked at
     tie = _girl(spark, {**first, "MaritalStatus": 1}, first, {**first, "StartDate": "2005-03-01"}, *school)
     assert rows(E.union_left_censored(tie, birth), "UnionDate") == [(dt.date(2005, 3, 1),)]
+    # and the latest of those that pass counts, not the latest
+    half = _girl(spark, first, {**first, "StartDate": "2009-03-01"}, *school)
+    assert rows(E.union_left_censored(half, birth), "UnionDate") == [(dt.date(2005, 1, 1),)]
 
 
 def test_first_birth_in_events(spark, rows):
