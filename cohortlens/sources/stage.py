@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 SETTING = "spark.checkpoint.dir"
@@ -12,17 +10,11 @@ SETTING = "spark.checkpoint.dir"
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so later branches do not recompute it.
 
-    The folder is the one the session names. Without one, a temporary folder serves a local
-    session; on a cluster the frame is left as it is, because a folder of one machine would be
-    lost with it.
+    The folder is the one the session names, or else one in the warehouse, which executors share too.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get(SETTING, None)
     if context.getCheckpointDir() is None:
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="cohortlens-checkpoint-")
+        folder = spark.conf.get(SETTING, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -114,4 +114,4 @@ def write_person_table(df: DataFrame, table: str, key: str = "IndividualId", buc
 
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Save the rows of a report table: a few dozen aggregated rows, so one file."""
-    write_frame(df.coalesce(1), path, fmt)
+    write_frame(df.repartition(1), path, fmt)
