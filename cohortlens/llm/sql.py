@@ -1,3 +1,59 @@
 """Check SQL (DuckDB) of the package's queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[pos:pos + k - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS words
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), found AS (
+  SELECT doc_id, item_id, pos, k FROM places JOIN windows USING (k, words)
+), covered AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS word FROM found) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+  sha256(coalesce(n.listed, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+"""
+
+TOPK = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+) WHERE rank <= 20
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), firsts AS (
+  SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h
+)
+SELECT p.page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
+  CASE WHEN p.page_id > f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id > f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN firsts f USING (h)
+"""
+
+SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op5_topk": TOPK, "op6_warc": WARC}
