@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,14 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    given = dict(df.dtypes)
+
+    def typed(f: T.StructField) -> Column:
+        # text that is no value of the type (NA, for one) is null
+        cast = F.col(f.name).try_cast if given[f.name] == "string" else F.col(f.name).cast
+        return cast(f.dataType).alias(f.name)
+
+    return df.select(*[typed(f) for f in schema])
 
 
 def _scan(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:

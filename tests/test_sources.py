@@ -66,3 +66,10 @@ def test_report(spark, tmp_path):
     path = tmp_path / "report"
     T.write_report(spark.range(20).repartition(4), str(path))
     assert len(list(path.glob("part-*.csv"))) == 1
+
+
+def test_text_that_is_no_value_is_null(spark, tmp_path):
+    ep = tiny.episodes(spark, dict(IndividualId=1), dict(IndividualId=2))
+    texts = ep.select([F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in ep.columns])
+    texts.withColumn("DoD", F.lit("NA")).write.option("header", True).csv(f"{tmp_path}/e")
+    assert T.read_episodes(spark, f"{tmp_path}/e", "csv").select("DoD").distinct().collect() == [(None,)]
