@@ -11,21 +11,24 @@ from cohortlens.operators import columns as C
 from cohortlens.operators import joins as J
 from cohortlens.operators import reshape as R
 from cohortlens.operators import windows as W
-from cohortlens.operators.skew import SMALL
 from cohortlens.sources.derived import load
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
 
 
+#: Runs and salts of the queries that split their groups.
+RUNS, SALTS = 4, 4
+
+
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("*", F.to_date("o_orderdate").alias("o_day")).drop("o_orderdate")
 
 
-def _gaps(spark, sf):
+def _gaps(spark, sf, *more):
     """Orders whose price is known for each third order only."""
     price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("price")
-    return orders(spark, sf).select("o_custkey", "o_orderkey", "o_day", price)
+    return orders(spark, sf).select("o_custkey", "o_orderkey", "o_day", price, *more)
 
 
 def slice_first(spark, sf):
@@ -51,21 +54,33 @@ def slice_max(spark, sf):
     )
 
 
-def fill_up(spark, sf):
-    return W.fill_up(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"])
+def fill_up(spark, sf, runs=None):
+    return W.fill_up(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"], runs)
+
+
+def fill_up_split(spark, sf):
+    return fill_up(spark, sf, RUNS)
+
 
+def fill_downup(spark, sf, runs=None):
+    return W.fill_downup(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"], runs)
 
-def fill_downup(spark, sf):
-    return W.fill_downup(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"])
 
+def fill_downup_split(spark, sf):
+    return fill_downup(spark, sf, RUNS)
 
-def r_cumsum(spark, sf):
+
+def r_cumsum(spark, sf, runs=None):
     price = F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("price")
     known = orders(spark, sf).select("o_custkey", "o_orderkey", "o_day", price)
-    out = W.running_total(known, ["o_custkey"], ["o_day", "o_orderkey"], "price")
+    out = W.running_total(known, ["o_custkey"], ["o_day", "o_orderkey"], "price", runs=runs)
     return out.select("o_custkey", "o_orderkey", F.round("cumsum", 2).alias("cumsum"))
 
 
+def r_cumsum_split(spark, sf):
+    return r_cumsum(spark, sf, RUNS)
+
+
 def group_max(spark, sf):
     return W.group_max(
         orders(spark, sf).select("o_custkey", "o_orderkey", "o_totalprice", "o_day"),
@@ -79,12 +94,12 @@ def _cells(spark, sf):
 
 def ref_value(spark, sf):
     is_ref = F.col("o_orderpriority") == PRIORITIES[0]
-    out = W.ref_value(_cells(spark, sf), ["o_orderstatus"], is_ref, "n", "ref", limit=SMALL)
+    out = W.ref_value(_cells(spark, sf), ["o_orderstatus"], is_ref, "n", "ref", small=True)
     return out.withColumn("adv", F.round(S.safe_divide(F.col("n"), F.col("ref")) - 1, 6))
 
 
 def share_within(spark, sf):
-    out = W.share_within(_cells(spark, sf), ["o_orderstatus"], "n", limit=SMALL)
+    out = W.share_within(_cells(spark, sf), ["o_orderstatus"], "n", small=True)
     return out.withColumn("share", F.round("share", 6))
 
 
@@ -163,13 +178,17 @@ def in_flag(spark, sf):
     )
 
 
-def left_join_named(spark, sf):
+def left_join_named(spark, sf, salts=None):
     some = load(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    return J.left_join(orders(spark, sf), some, [("o_custkey", "c_custkey")]).select(
+    return J.left_join(orders(spark, sf), some, [("o_custkey", "c_custkey")], salts=salts).select(
         "o_orderkey", "o_custkey", "c_mktsegment"
     )
 
 
+def left_join_split(spark, sf):
+    return left_join_named(spark, sf, SALTS)
+
+
 def inner_join(spark, sf):
     some = load(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey", "c_mktsegment")
     return J.left_join(orders(spark, sf), some, [("o_custkey", "c_custkey")], "inner").select(
@@ -216,8 +235,7 @@ def pct_table(spark, sf):
 
 
 def pct_of(spark, sf):
-    out = A.pct_of(_gaps(spark, sf).join(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey"),
-                   ["o_orderstatus"], F.col("price") > 200000)
+    out = A.pct_of(_gaps(spark, sf, "o_orderstatus"), ["o_orderstatus"], F.col("price") > 200000)
     return out.withColumn("pct", F.round("pct", 6))
 
 
@@ -324,6 +342,7 @@ QUERIES = {
         inner_join, parent_join, prior_state, count_by, count_pred, quantile_summary, pct_table, pct_of,
         anova_orders, pivot_counts, pivot_values, pivot_bool, pivot_longer, replicate_rows, expand_years,
         separate_unite, union_by_name, union_missing, stack_tables, zip_by_key, mask_cells, mutate_if_round,
-        select_range, drop_range, with_cols_rename, arrange_levels,
+        select_range, drop_range, with_cols_rename, arrange_levels, fill_up_split,
+        fill_downup_split, r_cumsum_split, left_join_split,
     )
 }

@@ -159,3 +159,9 @@ SQL = {
     "with_cols_rename": "SELECT c_custkey, c_acctbal AS account, c_acctbal / 2 AS half, c_acctbal / 2 - 1 AS rest FROM customer",
     "arrange_levels": f"SELECT * FROM {CELLS} ORDER BY o_orderpriority DESC, o_orderstatus",
 }
+# the queries that split their groups give what the plain ones give
+PLAIN = {
+    "fill_up_split": "fill_up", "fill_downup_split": "fill_downup", "r_cumsum_split": "r_cumsum",
+    "left_join_split": "left_join_named",
+}
+SQL |= {split: SQL[plain] for split, plain in PLAIN.items()}

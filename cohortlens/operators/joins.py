@@ -14,33 +14,33 @@ def _keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return df.select(*([key] if isinstance(key, str) else key)).distinct()
 
 
-def semi(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None, limit: int | None = None) -> DataFrame:
+def semi(df: DataFrame, other: DataFrame, key: str, other_key: str | None = None, salts: int | None = None) -> DataFrame:
     """Rows whose key occurs in ``other``. The other side is cut to distinct keys first."""
     other_key = other_key or key
-    return salted_join(df, _keys(other, other_key), [(key, other_key)], "left_semi", limit)
+    return salted_join(df, _keys(other, other_key), [(key, other_key)], "left_semi", salts)
 
 
 def in_flag(
-    df: DataFrame, other: DataFrame, key: str, name: str, other_key: str | None = None, limit: int | None = None
+    df: DataFrame, other: DataFrame, key: str, name: str, other_key: str | None = None, salts: int | None = None
 ) -> DataFrame:
     """Add whether the key occurs in ``other`` as a true/false column."""
     other_key = other_key or key
     found = _keys(other, other_key).withColumn("_found", F.lit(True))
-    out = salted_join(df, found, [(key, other_key)], "left", limit)
+    out = salted_join(df, found, [(key, other_key)], "left", salts)
     return out.withColumn(name, F.coalesce(F.col("_found"), F.lit(False))).drop("_found")
 
 
 def left_join(
-    a: DataFrame, b: DataFrame, on: Sequence[tuple[str, str]], how: str = "left", limit: int | None = None
+    a: DataFrame, b: DataFrame, on: Sequence[tuple[str, str]], how: str = "left", salts: int | None = None
 ) -> DataFrame:
     """Left (or inner) join on (left, right) key pairs; other shared names get ``_right`` on the right."""
     right_keys = {r for _, r in on}
     clashes = {c: f"{c}_right" for c in b.columns if c in a.columns and c not in right_keys}
-    return salted_join(a, b.withColumnsRenamed(clashes), on, how, limit)
+    return salted_join(a, b.withColumnsRenamed(clashes), on, how, salts)
 
 
 def parent_join(
-    people: DataFrame, key: str, parent_key: str, columns: Sequence[str], limit: int | None = None
+    people: DataFrame, key: str, parent_key: str, columns: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """Each person next to their parent: ``columns`` of both, as Child… and Parent…."""
     child = people.filter(F.col(parent_key).isNotNull()).select(
@@ -48,7 +48,7 @@ def parent_join(
         *[F.col(c).alias(f"Child{c}") for c in columns],
     )
     parent = people.select(F.col(key).alias(f"Parent{key}"), *[F.col(c).alias(f"Parent{c}") for c in columns])
-    joined = salted_join(child, parent.withColumn("_id", F.col(f"Parent{key}")), [("_parent", "_id")], "inner", limit)
+    joined = salted_join(child, parent.withColumn("_id", F.col(f"Parent{key}")), [("_parent", "_id")], "inner", salts)
     return joined.drop("_parent")
 
 
@@ -59,7 +59,7 @@ def zip_by_key(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def latest_before(
     states: DataFrame, marks: DataFrame, key: str, when: str, mark: str, gap: Column | None = None,
-    limit: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """For each mark, the latest state strictly before it: key, mark and ``when``.
 
@@ -67,6 +67,6 @@ def latest_before(
     followed by a combined maximum, so pairs are never piled up. ``gap`` tests the result.
     """
     dates = states.select(key, when).distinct()
-    paired = salted_join(dates, marks.select(key, mark), [(key, key)], "inner", limit).filter(F.col(when) < F.col(mark))
+    paired = salted_join(dates, marks.select(key, mark), [(key, key)], "inner", salts).filter(F.col(when) < F.col(mark))
     out = paired.groupBy(key, mark).agg(F.max(when).alias(when))
     return out if gap is None else out.filter(gap)

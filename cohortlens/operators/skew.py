@@ -1,46 +1,18 @@
 """Keeping large groups out of a single task.
 
-A group with more rows than one task should take is a *hot* group. The hot groups are found
-with a map-side combined count that reads the key columns only. At most ``MAX_HOT`` of them
-come back, so the list has a fixed size bound and can be broadcast; with no hot group the
-ordinary plan is used. Groups beyond the bound are smaller than all listed ones and stay whole,
-so the result never depends on the bound.
+Nothing here looks at the data while a plan is built, and no list of keys is gathered. Joins have
+one row per key on one side as a rule, so adaptive execution can split a partition that a hot key
+fills; a caller that knows better deals a join out by ``salts``. Verbs that follow the order of
+rows cut every group into ``runs`` when asked to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT = 10_000
-MAX_BLOCKS = 10_000
-ROWS_PER_TASK = 5_000_000
-SETTING = "spark.cohortlens.rowsPerTask"
-SMALL = 0  # as a limit: the frame is a few aggregated rows, do not look for hot groups
-
-
-def rows_per_task(df: DataFrame, given: int | None = None) -> int:
-    if given is not None:
-        return given
-    return int(df.sparkSession.conf.get(SETTING, str(ROWS_PER_TASK)))
-
-
-def hot_groups(
-    df: DataFrame, by: Sequence[str], limit: int | None = None, aggs: Mapping[str, Column] | None = None
-) -> DataFrame | None:
-    """The hot groups with their row count ``_rows`` (and ``aggs``), or None if there are none."""
-    per_task = rows_per_task(df, limit)
-    if per_task == SMALL:
-        return None
-    extra = [expr.alias(name) for name, expr in (aggs or {}).items()]
-    counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *extra).filter(F.col("_rows") > per_task)
-    largest = counted.orderBy(F.desc("_rows")).limit(MAX_HOT)
-    rows = largest.collect()
-    return df.sparkSession.createDataFrame(rows, counted.schema) if rows else None
-
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     """Equality on key pairs that lets null meet null."""
@@ -50,99 +22,65 @@ def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return cond
 
 
-def mark_hot(df: DataFrame, by: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Attach the columns of the hot list (``_rows`` and more) by a map-side join."""
-    side = hot.withColumnsRenamed({c: f"_hot_{c}" for c in by})
-    joined = df.join(F.broadcast(side), same_keys(df, side, [(c, f"_hot_{c}") for c in by]), "left")
-    return joined.drop(*[f"_hot_{c}" for c in by])
-
-
 def row_spread(columns: Sequence[str], n: Column) -> Column:
     """A number below ``n`` that also separates equal rows read by different tasks."""
     return F.pmod(F.xxhash64(*columns) + F.spark_partition_id(), n)
 
 
-def attach_group(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], limit: int | None = None) -> DataFrame:
+def attach_group(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column], small: bool = False) -> DataFrame:
     """Put group aggregates on every row of the group.
 
-    Rows of ordinary groups get them from a window. Rows of hot groups get the value that the
-    combined aggregate found, and are spread over many window partitions instead of one.
+    The aggregates are combined before the shuffle and joined back, so rows of a group never have to
+    meet. ``small`` is for frames of a few aggregated rows, where a window is cheaper.
     """
-    hot = hot_groups(df, by, limit, {f"_hot_{n}": a for n, a in aggs.items()})
-    if hot is None:
+    if small:
         w = Window.partitionBy(*by)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    spread = row_spread(df.columns, F.ceil(F.col("_rows") / rows_per_task(df, limit))) + 1
-    marked = mark_hot(df, by, hot).withColumn("_spread", F.when(F.col("_rows").isNull(), 0).otherwise(spread))
-    w = Window.partitionBy(*by, "_spread")
-    values = [
-        F.when(F.col("_rows").isNull(), a.over(w)).otherwise(F.col(f"_hot_{n}")).alias(n) for n, a in aggs.items()
-    ]
-    return marked.select(*df.columns, *values)
+    values = df.groupBy(*by).agg(*[a.alias(f"_a_{n}") for n, a in aggs.items()])
+    side = values.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    joined = df.join(side, same_keys(df, side, [(c, f"_g_{c}") for c in by]), "left")
+    return joined.select(*[df[c] for c in df.columns], *[side[f"_a_{n}"].alias(n) for n in aggs])
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "left", limit: int | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "left", salts: int | None = None
 ) -> DataFrame:
-    """Equi-join in which the rows of a hot left key are dealt out over several tasks.
+    """Equi-join; ``how`` is ``left``, ``inner`` or ``left_semi``; the right key columns are dropped.
 
-    The right rows of such a key are repeated once for each of its salts. ``how`` is
-    ``left``, ``inner`` or ``left_semi``; the right key columns are dropped.
+    With ``salts`` the left rows of each key are dealt out over so many tasks, and each right row is
+    repeated for all of them.
     """
     if how not in ("left", "inner", "left_semi"):
         raise ValueError(f"unsupported join type {how!r}")
-    left_keys, right_keys = [a for a, _ in on], [b for _, b in on]
-    hidden = right.withColumnsRenamed({b: f"_r_{b}" for b in right_keys})
-    pairs = [(a, f"_r_{b}") for a, b in on]
-    hot = hot_groups(left.dropna(subset=left_keys), left_keys, limit)
-    if hot is None:
-        cond = [left[a] == hidden[b] for a, b in pairs]
-        return left.join(hidden, cond, how).drop(*[b for _, b in pairs])
-    salts = F.coalesce(F.ceil(F.col("_rows") / rows_per_task(left, limit)), F.lit(1)).cast("long")
-    salted = mark_hot(left, left_keys, hot).withColumn("_salt", row_spread(left.columns, salts)).drop("_rows")
-    hot_right = hot.withColumnsRenamed(dict(pairs))
-    repeated = (
-        hidden.join(F.broadcast(hot_right), [b for _, b in pairs], "left")
-        .withColumn("_rsalt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_rows")
-    )
-    cond = [salted[a] == repeated[b] for a, b in pairs] + [salted["_salt"] == repeated["_rsalt"]]
-    return salted.join(repeated, cond, how).drop("_salt", "_rsalt", *[b for _, b in pairs])
-
-
-def as_place(df: DataFrame, order: str) -> Column:
-    """A number that never falls where the order column rises."""
-    kind, col = dict(df.dtypes)[order], F.col(order)
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind == "string":
-        # the first six bytes as a number; equal beginnings stay in one run
-        start = F.rpad(F.hex(F.substring(F.encode(col, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(start, 16, 10).cast("double")
-    if kind.startswith("timestamp"):
-        return col.cast("timestamp").cast("double")
-    return col.cast("double")
-
-
-def order_blocks(df: DataFrame, by: Sequence[str], order: str, limit: int | None = None) -> DataFrame | None:
-    """Number ``_block`` for each row: hot groups are cut into runs along ``order``, others are one run.
-
-    The cuts are quantiles of ``order`` among the hot rows, so a run holds about
-    ``rows_per_task`` rows (more only where rows share one ``order`` value). Returns None
-    without hot groups. ``_rows`` is null on rows of ordinary groups.
+    hidden = right.withColumnsRenamed({b: f"_r_{b}" for _, b in on})
+    if salts is None:
+        return left.join(hidden, [left[a] == hidden[f"_r_{b}"] for a, b in on], how).drop(*[f"_r_{b}" for _, b in on])
+    salted = left.withColumn("_salt", row_spread(left.columns, F.lit(salts)))
+    repeated = hidden.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    cond = [salted[a] == repeated[f"_r_{b}"] for a, b in on] + [salted["_salt"] == repeated["_rsalt"]]
+    return salted.join(repeated, cond, how).drop("_salt", "_rsalt", *[f"_r_{b}" for _, b in on])
+
+
+def sortable(order: Sequence[str]) -> Column:
+    """A struct that sorts like the order columns, nulls last."""
+    return F.struct(*[x.alias(f"{k}{i}") for i, c in enumerate(order) for k, x in (("n", F.col(c).isNull()), ("v", F.col(c)))])
+
+
+def order_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], runs: int) -> DataFrame:
+    """Add ``_run``: each group is cut into at most ``runs`` runs along all its order columns.
+
+    A group's cuts are ``runs - 1`` of its own rows, drawn by a hash of their order values: the drawn
+    row of each hash class is the one with the smallest second hash, found by a combined minimum.
+    Rows share a run for certain only if they share all order values. The cuts depend on the rows
+    alone, so a task that is run again finds the same ones.
     """
-    hot = hot_groups(df, by, limit)
-    if hot is None:
-        return None
-    total = hot.agg(F.sum("_rows")).first()[0]
-    blocks = min(MAX_BLOCKS, max(2, -(-total // rows_per_task(df, limit))))
-    place = as_place(df, order)
-    marked = mark_hot(df, by, hot).withColumn("_place", F.when(F.col("_rows").isNotNull(), place))
-    cutter = QuantileDiscretizer(
-        numBuckets=blocks, inputCol="_place", outputCol="_cut", relativeError=0.1 / blocks, handleInvalid="keep"
-    ).fit(marked.filter("_place IS NOT NULL").select("_place"))
-    cut = cutter.transform(marked)
-    # rows without an order value come last, as in the row order of the verbs
-    cut_no = F.coalesce(F.col("_cut").cast("int"), F.lit(blocks + 1))
-    block = F.when(F.col("_rows").isNull(), 0).otherwise(cut_no)
-    return cut.withColumn("_block", block).drop("_place", "_cut")
+    place = sortable(order)
+    drawn = df.select(*by, place.alias("_place")).withColumns(
+        {"_class": F.pmod(F.xxhash64("_place"), F.lit(max(runs - 1, 1))), "_draw": F.xxhash64(F.lit(7), "_place")}
+    )
+    firsts = drawn.groupBy(*by, "_class").agg(F.min(F.struct("_draw", "_place"))["_place"].alias("_place"))
+    cuts = firsts.groupBy(*by).agg(F.collect_list("_place").alias("_cuts"))  # at most runs - 1 of them
+    side = cuts.withColumnsRenamed({c: f"_g_{c}" for c in by})
+    joined = df.join(side, same_keys(df, side, [(c, f"_g_{c}") for c in by]), "left")
+    run = F.size(F.filter("_cuts", lambda cut: cut <= place))
+    return joined.withColumn("_run", run).drop("_cuts", *[f"_g_{c}" for c in by])

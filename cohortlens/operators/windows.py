@@ -1,7 +1,9 @@
 """First-row picks, fills and running sums within groups.
 
 Row order is never implied: verbs that depend on it take the order columns, ascending with
-nulls last, and expect them to order the rows of a group fully.
+nulls last, and expect them to order the rows of a group fully. Fills and running sums take a
+group as a whole, sorted and read row by row, unless ``runs`` is given: then every group is cut into
+that many runs, which different tasks take. Give it where one group may hold much of the table.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach_group, order_blocks, same_keys
+from .skew import attach_group, order_runs, same_keys, sortable
 
 START, END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -32,13 +34,12 @@ def slice_first(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataF
 
 
 def slice_min(
-    df: DataFrame, by: Sequence[str], x: str, order: Sequence[str] = (), with_ties: bool = False,
-    limit: int | None = None,
-) -> DataFrame:
+    df: DataFrame, by: Sequence[str], x: str, order: Sequence[str] = (), with_ties: bool = False
+) -> DataFrame:
     """The row with the smallest ``x`` (nulls last), or every row that has it."""
     if not with_ties:
         return _pick(df, by, _ascending([x, *order]))
-    lowest = attach_group(df, by, {"_lowest": F.min(x)}, limit)
+    lowest = attach_group(df, by, {"_lowest": F.min(x)})
     return lowest.filter(F.col(x).eqNullSafe(F.col("_lowest"))).drop("_lowest")
 
 
@@ -47,110 +48,104 @@ def slice_max(df: DataFrame, by: Sequence[str], x: str, order: Sequence[str] = (
     return _pick(df, by, [F.col(x).desc_nulls_last(), *_ascending(order)])
 
 
-def group_max(df: DataFrame, by: Sequence[str], columns: dict[str, str], limit: int | None = None) -> DataFrame:
+def group_max(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """Add group maxima to every row; ``columns`` maps new names to source columns."""
-    return attach_group(df, by, {new: F.max(old) for new, old in columns.items()}, limit)
+    return attach_group(df, by, {new: F.max(old) for new, old in columns.items()})
 
 
 def ref_value(
-    df: DataFrame, by: Sequence[str], cond: Column, x: str, name: str, strict: bool = True, limit: int | None = None
+    df: DataFrame, by: Sequence[str], cond: Column, x: str, name: str, strict: bool = True, small: bool = False
 ) -> DataFrame:
     """Add the value ``x`` has in the group's reference row; not exactly one such row is an error."""
     found = {name: F.max(F.when(cond, F.col(x))), "_refs": F.count_if(cond)}
-    out = attach_group(df, by, found, limit)
+    out = attach_group(df, by, found, small)
     if strict:
         error = F.raise_error(F.lit("a group has not exactly one reference row")).cast(dict(df.dtypes)[x])
         out = out.withColumn(name, F.when(F.col("_refs") == 1, F.col(name)).otherwise(error))
     return out.drop("_refs")
 
 
-def share_within(df: DataFrame, by: Sequence[str], n: str, name: str = "share", limit: int | None = None) -> DataFrame:
+def share_within(df: DataFrame, by: Sequence[str], n: str, name: str = "share", small: bool = False) -> DataFrame:
     """Add each row's share of the group total of ``n``."""
-    out = attach_group(df, by, {"_total": F.sum(n)}, limit)
+    out = attach_group(df, by, {"_total": F.sum(n)}, small)
     return out.withColumn(name, F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double"))).drop("_total")
 
 
-def _sortable(order: Sequence[str]) -> Column:
-    """A struct that sorts like the order columns, nulls last."""
-    return F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
-
-
 def _join_carry(rows: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-    side = carry.withColumnsRenamed({c: f"_c_{c}" for c in [*by, "_block"]})
-    pairs = [(c, f"_c_{c}") for c in [*by, "_block"]]
+    side = carry.withColumnsRenamed({c: f"_c_{c}" for c in [*by, "_run"]})
+    pairs = [(c, f"_c_{c}") for c in [*by, "_run"]]
     return rows.join(side, same_keys(rows, side, pairs), "left").drop(*[b for _, b in pairs])
 
 
-def _edge_values(blocks: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], last: bool):
-    """First or last non-null value of each column in every run of the hot groups."""
+def _edge_values(cut: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], last: bool):
+    """First or last non-null value of each column in every run."""
     pick = F.max_by if last else F.min_by
-    edges = [pick(F.col(c), F.when(F.col(c).isNotNull(), _sortable(order))).alias(f"_e_{c}") for c in cols]
-    return blocks.filter("_rows IS NOT NULL").groupBy(*by, "_block").agg(*edges)
+    edges = [pick(F.col(c), F.when(F.col(c).isNotNull(), sortable(order))).alias(f"_e_{c}") for c in cols]
+    return cut.groupBy(*by, "_run").agg(*edges)
 
 
 def fill_up(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], limit: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], runs: int | None = None
 ) -> DataFrame:
     """Replace nulls by the next non-null value of the group."""
-    blocks = order_blocks(df, by, order[0], limit)
-    rows, keys = (df, list(by)) if blocks is None else (blocks, [*by, "_block"])
+    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
     # running backwards lets the frame grow row by row; a frame that shrinks is recomputed per row
     back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order])
     filled = {c: F.last(c, ignorenulls=True).over(back.rowsBetween(START, 0)) for c in cols}
-    if blocks is None:
+    if runs is None:
         return rows.withColumns(filled)
-    later = Window.partitionBy(*by).orderBy(F.desc("_block")).rowsBetween(START, -1)
-    carry = _edge_values(blocks, by, order, cols, last=False).select(
-        *by, "_block", *[F.last(f"_e_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols]
+    later = Window.partitionBy(*by).orderBy(F.desc("_run")).rowsBetween(START, -1)
+    carry = _edge_values(rows, by, order, cols, last=False).select(
+        *by, "_run", *[F.last(f"_e_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols]
     )
     out = _join_carry(rows.withColumns(filled), carry, by)
     return out.withColumns({c: F.coalesce(c, f"_n_{c}") for c in cols}).select(*df.columns)
 
 
 def fill_downup(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], limit: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], runs: int | None = None
 ) -> DataFrame:
     """Replace nulls by the previous non-null value of the group, or else by its first one."""
-    blocks = order_blocks(df, by, order[0], limit)
-    rows, keys = (df, list(by)) if blocks is None else (blocks, [*by, "_block"])
+    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
     w = Window.partitionBy(*keys).orderBy(*_ascending(order))
     running, whole = w.rowsBetween(START, 0), w.rowsBetween(START, END)
     previous = {c: F.last(c, ignorenulls=True).over(running) for c in cols}
-    if blocks is None:
+    if runs is None:
         first = {c: F.first(c, ignorenulls=True).over(whole) for c in cols}
         return rows.withColumns({c: F.coalesce(previous[c], first[c]) for c in cols})
-    runs = Window.partitionBy(*by).orderBy("_block")
-    earlier, every = runs.rowsBetween(START, -1), runs.rowsBetween(START, END)
-    ends = _edge_values(blocks, by, order, cols, last=True)
-    starts = _edge_values(blocks, by, order, cols, last=False).withColumnsRenamed({f"_e_{c}": f"_f_{c}" for c in cols})
+    along = Window.partitionBy(*by).orderBy("_run")
+    earlier, every = along.rowsBetween(START, -1), along.rowsBetween(START, END)
+    ends = _edge_values(rows, by, order, cols, last=True)
+    starts = _edge_values(rows, by, order, cols, last=False).withColumnsRenamed({f"_e_{c}": f"_f_{c}" for c in cols})
     edges = _join_carry(ends, starts, by)
     carry = edges.select(
-        *by, "_block",
+        *by, "_run",
         *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
         *[F.first(f"_f_{c}", ignorenulls=True).over(every).alias(f"_n_{c}") for c in cols],
     )
-    # ordinary groups are one run each: their own first value is the fallback
-    own = {f"_o_{c}": F.when(F.col("_rows").isNull(), F.first(c, ignorenulls=True).over(whole)) for c in cols}
-    out = _join_carry(rows.withColumns({**own, **previous}), carry, by)
-    return out.withColumns({c: F.coalesce(c, f"_p_{c}", f"_n_{c}", f"_o_{c}") for c in cols}).select(*df.columns)
+    out = _join_carry(rows.withColumns(previous), carry, by)
+    return out.withColumns({c: F.coalesce(c, f"_p_{c}", f"_n_{c}") for c in cols}).select(*df.columns)
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, name: str = "cumsum", limit: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, name: str = "cumsum", runs: int | None = None
 ) -> DataFrame:
-    """Running sum in group order; after the first null everything is null."""
-    blocks = order_blocks(df, by, order[0], limit)
-    rows, keys = (df, list(by)) if blocks is None else (blocks, [*by, "_block"])
+    """Running sum in group order; after the first null everything is null.
+
+    Sums of doubles may differ in their last digits with ``runs``; sums of decimals do not.
+    """
+    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
     w = Window.partitionBy(*keys).orderBy(*_ascending(order)).rowsBetween(START, 0)
     total, broken = F.sum(x).over(w), F.max(F.col(x).isNull()).over(w)
-    if blocks is None:
+    if runs is None:
         return rows.withColumn(name, F.when(~broken, total))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(START, -1)
-    runs = blocks.filter("_rows IS NOT NULL").groupBy(*by, "_block")
-    carry = runs.agg(F.sum(x).alias("_s"), F.max(F.col(x).isNull()).alias("_b")).select(
-        *by, "_block", F.sum("_s").over(before).alias("_before"), F.max("_b").over(before).alias("_was_broken")
+    before = Window.partitionBy(*by).orderBy("_run").rowsBetween(START, -1)
+    sums = rows.groupBy(*by, "_run").agg(F.sum(x).alias("_s"), F.max(F.col(x).isNull()).alias("_b"))
+    carry = sums.select(
+        *by, "_run", F.sum("_s").over(before).alias("_before"), F.max("_b").over(before).alias("_was_broken")
     )
     out = _join_carry(rows.withColumns({"_total": total, "_broken": broken}), carry, by)
     value = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_total")
     whole = ~F.col("_broken") & ~F.coalesce(F.col("_was_broken"), F.lit(False))
-    return out.withColumn(name, F.when(whole, value)).select(*df.columns, name)
+    kind = dict(out.dtypes)["_total"]
+    return out.withColumn(name, F.when(whole, value).cast(kind)).select(*df.columns, name)

@@ -31,7 +31,7 @@ from ..functions.scalars import (
 )
 from ..operators.columns import mask_cells
 from ..operators.reshape import pivot_values, replicate_rows
-from ..operators.skew import SMALL, salted_join
+from ..operators.skew import salted_join
 from ..operators.windows import running_total
 from .persons import analysis_persons, base_aggregates, women_only
 
@@ -67,13 +67,13 @@ def mothers_frame(episodes: DataFrame) -> DataFrame:
     return people.select("IndividualId", *attributes)
 
 
-def births(pregnancies: DataFrame, episodes: DataFrame, limit: int | None = None) -> DataFrame:
+def births(pregnancies: DataFrame, episodes: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per live birth with the mother's cohort, state and education (null outside the full frame).
 
     The counts below do not use these rows; they weight deliveries instead.
     """
     live = live_deliveries(pregnancies)
-    joined = salted_join(live, mothers_frame(episodes), [("WomanId", "IndividualId")], "inner", limit)
+    joined = salted_join(live, mothers_frame(episodes), [("WomanId", "IndividualId")], "inner", salts)
     return replicate_rows(joined, multiplicity())
 
 
@@ -332,7 +332,7 @@ def asfr_long(rates: DataFrame, masked: Sequence[tuple[str, str]] = tuple(fv.MAS
 def cumulative_fertility(masked_rates: DataFrame, by: Sequence[str] = ("EverMarried",)) -> DataFrame:
     """Children born up to the end of each age group, one column per age group, rounded."""
     groups = ["Generation", *by]
-    running = running_total(masked_rates, groups, ["Agegroup"], "value", "_cum", limit=SMALL)
+    running = running_total(masked_rates, groups, ["Agegroup"], "value", "_cum")
     known = running.withColumn("_cum", fv.AGE_GROUP_WIDTH * F.col("_cum")).filter(F.col("_cum").isNotNull())
     labels = list(fv.AGE_DISPLAY.values())
     wide = pivot_values(known, groups, "Agegroup", "_cum", labels)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.scalars import age_at, date_between, if_else, none_if_zero, percent, round_half_even, safe_divide
-from ..operators.skew import SMALL, salted_join
+from ..operators.skew import salted_join
 from ..operators.windows import ref_value, share_within
-from ..sources.stage import materialize
 from .persons import analysis_persons
 
 def prop_ever(persons: DataFrame, by: tuple[str, ...] = ("Generation", "Sex", "EduMaxLbl")) -> DataFrame:
@@ -23,7 +22,7 @@ def prop_ever(persons: DataFrame, by: tuple[str, ...] = ("Generation", "Sex", "E
 def relative_to(props: DataFrame, reference: str = fv.REFERENCE_EDUCATION, strict: bool = True) -> DataFrame:
     """Relative difference of each proportion to that of the reference education group."""
     is_ref = F.col("EduMaxLbl") == reference
-    with_ref = ref_value(props, ["Generation", "Sex"], is_ref, "MarProp", "Ref", strict, limit=SMALL)
+    with_ref = ref_value(props, ["Generation", "Sex"], is_ref, "MarProp", "Ref", strict, small=True)
     return with_ref.withColumn("Adv", safe_divide(F.col("MarProp"), F.col("Ref")) - 1)
 
 
@@ -105,17 +104,13 @@ def mother_daughter_marriage(persons: DataFrame) -> DataFrame:
     named = counts.withColumn(
         "MotherEverMarried", if_else(F.col("MotherEverMarried") == 0, "Never- \nMarried", "Ever- \nMarried")
     )
-    return share_within(named, ["MotherEverMarried", "EduMaxLbl"], "n", limit=SMALL)
+    return share_within(named, ["MotherEverMarried", "EduMaxLbl"], "n", small=True)
 
 
-def mother_daughter_pairs(persons: DataFrame, limit: int | None = None) -> DataFrame:
+def mother_daughter_pairs(persons: DataFrame, salts: int | None = None) -> DataFrame:
     """One row per daughter of the last cohort with a followed mother, and the mother's age at the birth."""
-    # both sides and the search for hot mothers use the same persons: fold the episodes once
-    women = materialize(
-        persons.filter(F.col("Sex") == fv.FEMALE).select(
-            "IndividualId", "MotherId", "DoB", "Generation", "EverMarried", "EduMaxLbl"
-        )
-    )
+    # the persons' fold shuffles once, by exchange reuse
+    women = persons.filter(F.col("Sex") == fv.FEMALE)
     mothers = women.select(
         F.col("IndividualId").alias("_mother"), F.col("DoB").alias("MotherDoB"),
         F.col("EverMarried").alias("MotherEverMarried"), "EduMaxLbl",
@@ -124,7 +119,7 @@ def mother_daughter_pairs(persons: DataFrame, limit: int | None = None) -> DataF
         F.col("IndividualId").alias("ChildIndividualId"), F.col("MotherId").alias("MotherIndividualId"),
         F.col("DoB").alias("ChildDoB"), F.col("EverMarried").alias("ChldEverMarried"),
     )
-    pairs = salted_join(daughters, mothers, [("MotherIndividualId", "_mother")], "inner", limit)
+    pairs = salted_join(daughters, mothers, [("MotherIndividualId", "_mother")], "inner", salts)
     return pairs.withColumn("AgeAtBirth", age_at(F.col("ChildDoB"), F.col("MotherDoB")))
 
 
@@ -160,4 +155,4 @@ def mother_daughter_teen(persons: DataFrame, pregnancies: DataFrame) -> DataFram
         )),
     ).filter("n > 0")
     named = counts.withColumn("MotherTeenagePreg", if_else(F.col("MotherTeenagePreg") == 0, "No", "Yes"))
-    return share_within(named, ["MotherTeenagePreg", "EduMaxLbl"], "n", limit=SMALL)
+    return share_within(named, ["MotherTeenagePreg", "EduMaxLbl"], "n", small=True)

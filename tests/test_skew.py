@@ -1,4 +1,4 @@
-"""Hot groups: the split plans give what the plain ones give."""
+"""Groups that are cut into runs, and joins that are dealt out: they give what the plain ones give."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,12 +7,12 @@ from cohortlens.operators import joins as J
 from cohortlens.operators import skew as K
 from cohortlens.operators import windows as W
 
-PLAIN, SPLIT = 10**9, 40
+RUNS = 6
 
 
 @pytest.fixture(scope="module")
 def skewed(spark):
-    """600 rows, a third of them in one group, another hot group without a name, the rest small."""
+    """600 rows, a third of them in one group, a third in a group without a name, the rest small."""
     i = F.col("id")
     key = F.when(i % 3 == 0, 1).when(i % 3 == 1, None).otherwise(10 + i % 60)
     df = spark.range(600).select(
@@ -26,59 +26,99 @@ def skewed(spark):
     return df.repartition(5).cache()
 
 
-def both(fn, rows):
-    split, plain = fn(SPLIT), fn(PLAIN)
-    assert split.columns == plain.columns
-    assert rows(split) == rows(plain)
-    return split
+def both(fn, rows, split=RUNS):
+    cut, plain = fn(split), fn(None)
+    assert cut.dtypes == plain.dtypes
+    assert rows(cut) == rows(plain)
+    return cut
 
 
-def test_hot_groups(skewed):
-    hot = {r["k"]: r["_rows"] for r in K.hot_groups(skewed, ["k"], SPLIT).collect()}
-    assert hot == {1: 200, None: 200}
-    assert K.hot_groups(skewed, ["k"], PLAIN) is None
-    assert K.hot_groups(skewed, ["k"], K.SMALL) is None
+ORDERS = {
+    "number": "o",
+    "date": "d",
+    "text": "concat('n', o)",
+    "long common beginning": "concat(repeat('x', 40), o)",
+    "timestamp": "timestamp_seconds(o * 5000)",
+    "binary": "encode(string(o), 'utf-8')",
+    "all null": "double(null)",
+    "one busy day": "date'2000-01-01'",
+    "some null": "if(i % 11 != 0, o, null)",
+}
 
 
-@pytest.mark.parametrize("order", [["o", "i"], ["d", "i"], ["s", "i"], ["t", "i"], ["tn", "i"]])
-def test_fills(skewed, rows, order):
-    skewed = skewed.withColumns(
-        {
-            "s": F.concat(F.lit("n"), F.col("o").cast("string")),
-            "t": F.timestamp_seconds(F.col("o") * 5000),
-            "tn": F.timestamp_seconds(F.col("o") * 5000).cast("timestamp_ntz"),
-        }
-    )
-    both(lambda n: W.fill_up(skewed, ["k"], order, ["v", "w"], n), rows)
-    both(lambda n: W.fill_downup(skewed, ["k"], order, ["v", "w"], n), rows)
+@pytest.mark.parametrize("kind", ORDERS)
+def test_fills(skewed, rows, kind):
+    df = skewed.withColumn("s", F.expr(ORDERS[kind]))
+    both(lambda n: W.fill_up(df, ["k"], ["s", "i"], ["v", "w"], n), rows)
+    both(lambda n: W.fill_downup(df, ["k"], ["s", "i"], ["v", "w"], n), rows)
+
+
+def test_local_times_around_a_clock_change(spark, skewed, rows):
+    """Wall clock times of a night in which the zone's clock goes back an hour."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        start = F.lit("2021-11-07 00:00:00").cast("timestamp_ntz")
+        df = skewed.withColumn("s", start + F.make_dt_interval(mins=F.col("o").cast("int")))
+        both(lambda n: W.fill_up(df, ["k"], ["s", "i"], ["v"], n), rows)
+        both(lambda n: W.running_total(df.withColumn("w", F.col("i")), ["k"], ["s", "i"], "w", runs=n), rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_running_total(skewed, rows):
-    both(lambda n: W.running_total(skewed.withColumn("w", F.coalesce("w", F.lit(1.0))), ["k"], ["o", "i"], "w", limit=n), rows)
-    poisoned = both(lambda n: W.running_total(skewed, ["k"], ["o", "i"], "w", limit=n), rows)
+    whole = skewed.withColumn("w", F.coalesce("w", F.lit(1.0)))
+    both(lambda n: W.running_total(whole, ["k"], ["o", "i"], "w", runs=n), rows)
+    exact = whole.withColumn("w", F.col("w").cast("decimal(10,2)"))
+    both(lambda n: W.running_total(exact, ["k"], ["o", "i"], "w", runs=n), rows)
+    poisoned = both(lambda n: W.running_total(skewed, ["k"], ["o", "i"], "w", runs=n), rows)
     assert poisoned.filter("cumsum IS NULL").count() > 0
 
 
-def test_order_nulls(skewed, rows):
-    gaps = skewed.withColumn("o", F.when(F.col("i") % 11 != 0, F.col("o")))
-    both(lambda n: W.fill_up(gaps, ["k"], ["o", "i"], ["v"], n), rows)
-    both(lambda n: W.fill_downup(gaps, ["k"], ["o", "i"], ["v"], n), rows)
+@pytest.mark.parametrize("runs", [1, 2, 40])
+def test_any_number_of_runs(skewed, rows, runs):
+    both(lambda n: W.fill_downup(skewed, ["k"], ["o", "i"], ["v", "w"], n), rows, runs)
 
 
-def test_runs_are_small(skewed):
-    blocks = K.order_blocks(skewed, ["k"], "o", SPLIT)
-    largest = blocks.groupBy("k", "_block").count().agg(F.max("count")).first()[0]
-    assert largest <= SPLIT * 1.5
+def test_empty_table(skewed):
+    assert W.fill_up(skewed.filter("i < 0"), ["k"], ["o"], ["v"], RUNS).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["number", "long common beginning", "one busy day"])
+def test_runs_share_a_group(skewed, kind):
+    """200 rows over 40 runs: none holds more than a fifth, also where the first order column is of no use."""
+    cut = K.order_runs(skewed.withColumn("s", F.expr(ORDERS[kind])), ["k"], ["s", "i"], 40)
+    sizes = cut.filter("k = 1").groupBy("_run").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 40
+    assert 20 <= sizes.count() <= 40
 
 
 def test_group_values(skewed, rows):
-    both(lambda n: W.group_max(skewed, ["k"], {"m": "v", "last": "d"}, n), rows)
-    both(lambda n: W.share_within(skewed, ["k"], "i", limit=n), rows)
-    both(lambda n: W.slice_min(skewed, ["k"], "w", with_ties=True, limit=n), rows)
-    # the hot rows do not share one window partition
-    marked = K.mark_hot(skewed, ["k"], K.hot_groups(skewed, ["k"], SPLIT))
-    spread = marked.withColumn("s", K.row_spread(skewed.columns, F.ceil(F.col("_rows") / SPLIT)))
-    assert spread.filter("k = 1").select("s").distinct().count() == 5
+    maxima = {"m": F.max("v"), "last": F.max("d")}
+    assert rows(K.attach_group(skewed, ["k"], maxima)) == rows(K.attach_group(skewed, ["k"], maxima, small=True))
+    assert rows(W.share_within(skewed, ["k"], "i")) == rows(W.share_within(skewed, ["k"], "i", small=True))
+    assert rows(W.share_within(skewed, [], "i")) == rows(W.share_within(skewed, [], "i", small=True))
+
+
+def test_group_values_need_no_window(skewed):
+    plan = W.group_max(skewed, ["k"], {"m": "v"})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan
+
+
+def test_nothing_runs_while_a_plan_is_built(spark, skewed):
+    skewed.count()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    try:
+        other = skewed.select(F.col("k").alias("j"))
+        W.fill_up(skewed, ["k"], ["o"], ["v"], RUNS)
+        W.fill_downup(skewed, ["k"], ["o"], ["v"], RUNS)
+        W.running_total(skewed, ["k"], ["o"], "w", runs=RUNS)
+        W.group_max(skewed, ["k"], {"m": "v"})
+        J.semi(skewed, other, "k", "j")
+        J.in_flag(skewed, other, "k", "hit", "j")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_equal_rows_are_spread(spark):
@@ -98,23 +138,9 @@ def test_membership(spark, skewed, rows):
     both(lambda n: J.semi(skewed, other, "k", "j", n), rows)
     both(lambda n: J.in_flag(skewed, other, "k", "hit", "j", n), rows)
     marks = skewed.groupBy("k").agg(F.max("d").alias("m"))
-    both(lambda n: J.latest_before(skewed, marks, "k", "d", "m", limit=n).select("k", "m", "d"), rows)
-
-
-def test_setting(spark, skewed):
-    spark.conf.set(K.SETTING, "40")
-    try:
-        assert K.hot_groups(skewed, ["k"]).count() == 2
-    finally:
-        spark.conf.unset(K.SETTING)
+    both(lambda n: J.latest_before(skewed, marks, "k", "d", "m", salts=n).select("k", "m", "d"), rows)
 
 
 def test_first_rows_are_cut_before_the_shuffle(skewed):
     plan = W.slice_first(skewed, ["k"], ["o", "i"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
-
-
-def test_hot_rows_are_marked_without_a_shuffle(skewed):
-    marked = K.mark_hot(skewed, ["k"], K.hot_groups(skewed, ["k"], SPLIT))
-    plan = marked._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("InMemoryRelation")[0]
