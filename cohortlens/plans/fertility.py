@@ -201,18 +201,15 @@ def lived_mask(episodes: DataFrame, y1: int = fv.LAST_YEAR) -> DataFrame:
     k, born = year - F.year("DoB"), _born(year)
     masks = {
         "SeenMask": F.bit_or(F.when(born & (k < BITS), _shifted(k))),
-        "LateMask": F.bit_or(F.when(born & (k >= BITS) & (k < 2 * BITS), _shifted(k - BITS))),
+        # of the years beyond the bits it matters only whether one was lived
+        "FirstLate": F.min(F.when(born & (k >= BITS), k)),
     }
-    none = F.lit(0).cast("long")
     # the date of death may stand on some of a woman's rows only: years are cut at it after the fold
-    died = F.coalesce(F.year("DoD") - F.year("DoB"), F.lit(2 * BITS))
-    women = _women_folded(episodes, masks).withColumns(
-        {
-            "SeenMask": F.coalesce(F.col("SeenMask"), none).bitwiseAND(_upto(died)),
-            "LateMask": F.coalesce(F.col("LateMask"), none).bitwiseAND(_upto(died - BITS)),
-        }
-    )
-    highest = F.when(F.col("LateMask") != 0, F.lit(BITS - 1) + F.length(F.bin("LateMask"))).when(
+    died = F.coalesce(F.year("DoD") - F.year("DoB"), F.lit(fv.LAST_YEAR))
+    folded = _women_folded(episodes, masks).withColumn("Died", died)
+    seen_alive = F.coalesce(F.col("SeenMask"), F.lit(0).cast("long")).bitwiseAND(_upto(F.col("Died")))
+    women = folded.withColumn("SeenMask", seen_alive)
+    highest = F.when(F.col("FirstLate") <= F.col("Died"), F.lit(BITS)).when(
         F.col("SeenMask") != 0, F.length(F.bin("SeenMask")) - 1
     )
     women = women.withColumn("Newest", highest)
