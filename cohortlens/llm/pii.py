@@ -20,9 +20,23 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# An account number's beginning; its end depends on the country (see account).
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+# Characters of an account number, and the countries whose numbers have so many.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG YE",
+    25: "LY PT ST", 26: "IS TR", 27: "DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+ACCOUNT_END = r"(?![A-Za-z0-9])"
+ACCOUNT = "|".join(
+    rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}{ACCOUNT_END}" for n, codes in IBAN_LENGTHS.items()
+)
+#: Code points from its start within which an account number ends: 34 characters with a blank before all but the first four.
+ACCOUNT_REACH = 64
 #: Code points before and after a span in which context words count.
 NEAR = 40
 KEEP_FROM = 0.5
@@ -66,6 +80,36 @@ def mod97(s: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c))) == 1
 
 
+def account(text: Column, start: Column) -> Column:
+    """The account number that starts at a place (null if none): as long as its country's are, never the words after it.
+
+    With a code of no listed country it is the longest piece of 15 to 34 characters up to a word's end
+    that passes the check.
+    """
+    ahead = F.substring(text, start + 1, F.lit(ACCOUNT_REACH + 1))
+    fixed = F.regexp_extract(ahead, f"^(?:{ACCOUNT})", 0)
+    listed_code = ahead.rlike(rf"^(?:{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})")
+    # the words that may belong to it, then its beginnings up to each word's end
+    run = F.regexp_extract(ahead, r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])*" + ACCOUNT_END, 0)
+    words = F.split(run, " ")
+    pieces = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+    passing = F.filter(pieces, lambda p: confirmed("iban", p))
+    return F.when(listed_code, F.when(confirmed("iban", fixed), fixed)).otherwise(F.get(passing, F.lit(0)))
+
+
+def accounts(text: Column, placed: Column) -> Column:
+    """Beginnings of account numbers to whole ones; one that starts inside another is part of it."""
+    whole = F.filter(F.transform(placed, lambda x: F.struct(account(text, x["start"]).alias("m"), x["start"].alias("start"))), lambda x: x["m"].isNotNull())
+    spans = F.transform(whole, lambda x: F.struct(x["m"], x["start"], (x["start"] + F.length(x["m"])).alias("end")))
+    none = F.array().cast("array<struct<m:string,start:int,end:int>>")
+
+    def apart(so_far: Column, x: Column) -> Column:
+        last = F.coalesce(F.try_element_at(so_far, F.lit(-1))["end"], F.lit(0))
+        return F.when(x["start"] >= last, F.concat(so_far, F.array(x))).otherwise(so_far)
+
+    return F.aggregate(spans, none, apart)
+
+
 def confirmed(kind: str, match: Column) -> Column:
     """The kind's check of a match."""
     n = F.length(_digits(match))
@@ -101,7 +145,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return F.struct(F.coalesce(begin + x["len"], begin).alias("end"), more.alias("spans"))
 
     placed = F.aggregate(lengths, start, add, lambda x: x["spans"])
-    right = F.filter(placed, lambda x: confirmed(kind.name, x["m"]))
+    right = accounts(text, placed) if kind.name == "iban" else F.filter(placed, lambda x: confirmed(kind.name, x["m"]))
 
     def scored(x: Column) -> Column:
         left = F.greatest(x["start"] - NEAR, F.lit(0))
@@ -126,7 +170,8 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     Starts and ends count code points, the end is exclusive. E-mail addresses, IP addresses (parts
     up to 255), card numbers (12 to 19 digits, Luhn) and phone numbers (9 to 15 digits) stay whatever
     their score; account numbers (IBAN: mod 97) and social security numbers (only beside a context
-    word) are kept from a score of 0.5. A match that fails its check is dropped and not tried again
+    word) are kept from a score of 0.5. An account number ends where its country's length says, whatever
+    follows. A match that fails its check is dropped and not tried again
     in part. Spans of different kinds may overlap.
 
     A map over rows: no shuffle, no state; a row needs memory for its own text and spans.
