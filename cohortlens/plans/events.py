@@ -1,7 +1,7 @@
 """Life events of the last cohort's women: school leaving, first birth, first union, and their order.
 
-The episodes of a woman are folded once into everything the events need; the pregnancies once
-into her first births. The two one-row-per-woman frames meet in a single join.
+The episodes of a woman are folded into everything the events need (by day first where union dates
+are compared with other events); the pregnancies once into her first births. The two one-row-per-woman frames meet in a single join.
 """
 
 from __future__ import annotations
@@ -43,15 +43,49 @@ def event_aggregates() -> dict[str, Column]:
         # distinct days of one woman's life as single: bounded by the days under observation
         "SingleDays": F.collect_set(F.when(status == fv.SINGLE, start)),
         "FirstStatus": F.min(F.when(status.isNotNull(), first_status)),
-        # rows may share a number: each of their union dates may be the one before the other events
-        "UnionStarts": F.collect_set(F.when(union, F.struct(F.col("Episode").alias("Episode"), start.alias("StartDate")))),
     }
 
 
+def _seen_before(women: DataFrame, age: float) -> DataFrame:
+    return women.filter(age_at(F.col("FirstSeen"), F.col("DoB")) < age)
+
+
 def women_observed(episodes: DataFrame, age: float = 15) -> DataFrame:
     """Followed women of the last cohort seen before ``age``, with what their events need."""
-    women = analysis_persons(last_cohort_women(episodes), extras=event_aggregates())
-    return women.filter(age_at(F.col("FirstSeen"), F.col("DoB")) < age)
+    return _seen_before(analysis_persons(last_cohort_women(episodes), extras=event_aggregates()), age)
+
+
+def by_day(episodes: DataFrame) -> DataFrame:
+    """Rows folded by person, day and status, with the lowest ``Episode`` of each; grade dates are folded before the grades."""
+    number, per_row = F.col("Episode"), event_aggregates()
+    return episodes.groupBy("IndividualId", "DoB", "StartDate", "MaritalStatus").agg(
+        # an unknown number is the lowest, as in the order of rows
+        F.when(~F.bool_or(number.isNull()), F.min(number)).alias("Episode"),
+        F.max("DoD").alias("DoD"),
+        F.min_by("Sex", number).alias("Sex"),
+        F.min_by("MotherId", number).alias("MotherId"),
+        F.max("Education").alias("Education"),
+        F.max("EducationObsDate").alias("EducationObsDate"),
+        per_row["Matric12"].alias("Matric12"),
+        per_row["Grade11"].alias("Grade11"),
+    )
+
+
+def women_with_union_starts(episodes: DataFrame, age: float = 15) -> DataFrame:
+    """``women_observed`` with ``UnionStarts``, each day a union row starts with the lowest number of such a row.
+
+    Rows are folded by day first, so that the set of a woman with very many episodes is no longer than
+    the days under observation (two statuses a day).
+    """
+    union = _in_union(F.col("MaritalStatus"))
+    extras = {
+        **event_aggregates(),
+        "Matric12": F.min("Matric12"),
+        "Grade11": F.max("Grade11"),
+        # rows may share a number: each of their union dates may be the one before the other events
+        "UnionStarts": F.collect_set(F.when(union, F.struct("Episode", "StartDate"))),
+    }
+    return _seen_before(analysis_persons(by_day(last_cohort_women(episodes)), extras=extras), age)
 
 
 def with_matric(women: DataFrame) -> DataFrame:
@@ -103,7 +137,7 @@ def with_union_before(women: DataFrame) -> DataFrame:
 
 
 def women_with_events(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:
-    women = with_union_from_single(with_matric(women_observed(episodes)))
+    women = with_union_from_single(with_matric(women_with_union_starts(episodes)))
     joined = with_union_before(women.join(first_births_of(pregnancies), "IndividualId", "left"))
     # greatest passes over null: the later of the two where both are known
     return joined.withColumn("AgeAtUnion", F.greatest("UnionSeenAge", "UnionBeforeAge"))

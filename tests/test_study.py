@@ -479,3 +479,13 @@ def test_household_employment(spark, rows):
     assert rows(Pr.household_employment(_profile_people(spark))) == [
         ("Full-time", "Gen1", 1), ("Unemployed", "Gen2", 1),
     ]
+
+
+def test_union_starts_of_a_person_with_many_episodes_are_no_more_than_their_days(spark):
+    days = ["1999-01-01", "2000-01-01", "2009-06-01"]
+    row = dict(IndividualId=1, DoB="1986-01-01", Education=11)
+    many = [dict(row, StartDate=days[i % 3], MaritalStatus=2, Episode=2 + i // 2, EducationObsDate="2008-02-01") for i in range(300)]
+    e = tiny.episodes(spark, *many, dict(row, MaritalStatus=None, StartDate="2010-01-01", Episode=1))
+    [got] = E.women_with_events(e, tiny.pregnancies(spark, dict(WomanId=1, MotherDoB="1986-01-01"))).collect()
+    assert max(len(v) for v in got if isinstance(v, list)) <= len(days)
+    assert {(x.Episode, str(x.StartDate)) for x in got.UnionStarts} == {(2, days[0]), (2, days[1]), (3, days[2])}
