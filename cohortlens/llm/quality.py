@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, received, sent, without
-from .toxicity import bounded_sample
+from .toxicity import LONG_CHARS, bounded_sample
 
 SAMPLE_DOCS = 4_000
 SAMPLE_CHARS = 12_000_000
@@ -173,15 +173,16 @@ def held_out(key: Column) -> Column:
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
     sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+    long_chars: int = LONG_CHARS,
 ) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
     At most ``sample_docs`` documents with at most ``sample_chars`` characters in all are fitted to, in
-    the driver. Rows with a null key or label teach nothing; with labels of one class, or none, every
-    score is that class's (or even).
+    the driver; texts of more than ``long_chars`` come last. Rows with a null key or
+    label teach nothing; with labels of one class, or none, every score is that class's (or even).
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(~held_out(F.col("k")))
-    texts, y = bounded_sample(docs, known, text, key, sample_docs, sample_chars)
+    texts, y = bounded_sample(docs, known, text, key, sample_docs, sample_chars, long_chars=long_chars)
     return fit(list(texts), y)
 
 

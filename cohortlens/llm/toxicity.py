@@ -23,6 +23,8 @@ from .common import fresh, received, sent, without
 #: Bounds of the sample that the model is fitted to: labelled documents, and their characters.
 SAMPLE_DOCS = 5_000
 SAMPLE_CHARS = 16_000_000
+#: Texts of more characters come into the sample after all others.
+LONG_CHARS = 500_000
 LEAST_WORDS = 5  # of a sentence
 LEAST_DOCS = 3  # documents of the sample that must hold a feature
 ROUNDS = 60
@@ -31,6 +33,8 @@ DECAY = 0.03  # of a document, by which each weight is drawn to zero
 #: A sentence starts this much (in logits) below an even share of the toxic documents, so that long clean texts stay low.
 HEADROOM = 3.0
 OFFENDING = 0.5
+#: Bias of a model without words to learn from: every text, of any length, scores 0.
+NO_EVIDENCE = -math.inf
 #: Words whose weights a task remembers.
 REMEMBERED = 200_000
 
@@ -66,17 +70,22 @@ def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
 
 
 def bounded_sample(
-    docs: DataFrame, known: DataFrame, text: str, key: str, most_docs: int, most_chars: int, seed: int = 42
-) -> tuple[Iterator[str], np.ndarray]:
+    docs: DataFrame, known: DataFrame, text: str, key: str, most_docs: int, most_chars: int, seed: int = 42,
+    long_chars: int = LONG_CHARS,
+) -> tuple[Iterator[str], np.ndarray]:
     """Texts and labels (0 or 1) of the first ``known`` rows (k, y) in a seeded order, within both bounds.
 
+    A text longer than ``most_chars`` can't be in the sample and takes no room in it. Texts longer than
+    ``long_chars`` come after the others, so that one of them keeps no shorter one out.
+
     Keys are chosen before their texts are looked up, so that only the sample's texts leave their
     tasks. A key that several rows share counts with the rows that fit.
     """
     order = F.xxhash64(F.lit(seed), "k")
     first = known.filter("k IS NOT NULL AND y IN (0, 1)").orderBy(order, "k", "y").limit(most_docs)
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).filter("t IS NOT NULL")
-    upto = Window.orderBy(order, "k", F.xxhash64("t"), "y").rowsBetween(Window.unboundedPreceding, 0)
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    texts = texts.filter(F.length("t") <= most_chars)
+    upto = Window.orderBy(F.length("t") > long_chars, order, "k", F.xxhash64("t"), "y").rowsBetween(Window.unboundedPreceding, 0)
     numbered = texts.join(first, "k").withColumns({"n": F.count(F.lit(1)).over(upto), "chars": F.sum(F.length("t")).over(upto)})
     rows = numbered.filter((F.col("n") <= most_docs) & (F.col("chars") <= most_chars)).select("n", "t", "y").toArrow().sort_by("n")
     return (t.as_py() for t in rows.column("t")), np.array(rows.column("y").to_pylist(), int)
@@ -115,7 +124,7 @@ class Model:
                 spans.append({"start": start, "end": end, "score": 1 / (1 + math.exp(-z))})
         if not some:
             clean = -softplus(self.bias)
-        return -math.expm1(clean), spans
+        return 0.0 - math.expm1(clean), spans
 
 
 def softplus(z: float) -> float:
@@ -141,9 +150,7 @@ def fit(texts: Iterable[str], labels: np.ndarray, rounds: int = ROUNDS) -> Model
     keep = np.array(documents, np.int64) > 0
     y, documents = np.asarray(labels, float)[keep], np.array(documents, np.int64)[keep]
     if not len(y) or not words:
-        share = float(np.mean(labels)) if len(labels) else 0.5
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(math.log(share / (1 - share)), {})
+        return Model(NO_EVIDENCE, {})
     holders = np.bincount(np.array(seen), minlength=len(numbers))
     names: dict[str, int] = {}
     flat, lengths = array("i"), array("i")
@@ -199,15 +206,16 @@ def held_out(key: Column) -> Column:
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic",
     sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+    long_chars: int = LONG_CHARS,
 ) -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
     At most ``sample_docs`` documents with at most ``sample_chars`` characters in all are fitted to, in
-    the driver. Rows with a null key or label teach nothing; without labelled rows the model knows no
-    words and every score is its prior.
+    the driver; texts of more than ``long_chars`` come last. Rows with a null key or
+    label teach nothing; without labelled rows that have words in their texts every score is 0.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(~held_out(F.col("k")))
-    return fit(*bounded_sample(docs, known, text, key, sample_docs, sample_chars))
+    return fit(*bounded_sample(docs, known, text, key, sample_docs, sample_chars, long_chars=long_chars))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
