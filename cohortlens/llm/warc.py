@@ -30,6 +30,11 @@ HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]*\r\n)*?)\r\n")
 EMPTY = GZIP + bytes(7) + b"\x03\x00" + bytes(8)
 #: Gaps between two looks at a cheap sign of damage: bytes inflated at a time.
 STEP = 1 << 20
+#: Records of an archive at most, when archives are written.
+ARCHIVE_RECORDS = 10_000
+#: Rows, and bytes of payloads, after which a batch of records goes out.
+ROWS_AT_ONCE = 256
+BYTES_AT_ONCE = 1 << 24
 
 RECORD = "path string, offset long, length long, headers map<string,string>, payload binary, gap string"
 _RECORD = pa.schema(
@@ -89,7 +94,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Null payloads are written as empty ones. Of rows with equal payloads of at least LEAST_SHARED
     bytes the one with the smallest key is the response (rows that share that key are responses
     each; a null key comes last, and among null keys alone all are responses). Rows are written
-    where they lie after the join that finds revisits; nothing is sorted or gathered.
+    where they lie after the join that finds revisits; nothing is sorted or gathered. An archive has at
+    most ARCHIVE_RECORDS records.
     """
     body = F.coalesce(F.encode(F.col(f"`{payload}`").cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(
@@ -117,7 +123,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                 yield pa.RecordBatch.from_arrays([pa.array([member(record(headers, data or b""))], pa.binary())], ["value"])
 
     records = marked.mapInArrow(write, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\x00").text(path)
+    lines = records.select(F.col("value").cast("string")).write.option("lineSep", "\x00")
+    lines.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 @dataclass
@@ -153,59 +160,114 @@ def parsed(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def inflated(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place (its check sum and length are verified) and its end."""
+def inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at a place, its end, and why it is not whole (empty: check sum and length are right).
+
+    Of a damaged or cut-off member the content is what comes out before the error, the end is where that lies.
+    """
     packer = zlib.decompressobj(31)
-    parts, spot = [], at
-    try:
-        while not packer.eof and spot < len(data):
-            parts.append(packer.decompress(data[spot : spot + STEP]))
-            spot += STEP
-    except zlib.error as e:
-        raise ValueError(f"a damaged member ({str(e).split(':')[0]})") from None
+    parts, spot, step, damage = [], at, STEP, ""
+    while not packer.eof and spot < len(data):
+        try:
+            parts.append(packer.decompress(data[spot : spot + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(parts), spot, damage
+            # once more to the piece with the error, then byte by byte
+            damage, step, packer = f"a damaged member ({str(e).split(':')[0]})", 1, zlib.decompressobj(31)
+            parts = [packer.decompress(data[low : low + STEP]) for low in range(at, spot, STEP)]
+            continue
+        spot += step
     if not packer.eof:
-        raise ValueError("a member that is cut off")
-    return b"".join(parts), min(spot, len(data)) - len(packer.unused_data)
+        return b"".join(parts), len(data), damage or "a member that is cut off"
+    return b"".join(parts), min(spot, len(data)) - len(packer.unused_data), ""
 
 
-def salvage(data: bytes) -> Salvage:
-    """Read an archive to its end. After a failed check, go on at the next valid member or version line.
+#: A record or gap: offset and length in the archive, headers and block of a record, reason of a gap.
+Entry = tuple[int, int, dict[str, str] | None, bytes | None, str | None]
 
-    Compressed and plain records may follow each other. Bytes that belong to no valid record become
-    gaps (start, end, the reason the first check failed); nothing before or after them is lost.
-    """
-    found, at, bad, reason = Salvage(), 0, None, ""
-
-    def take(place: int) -> int:
-        """Records at a place and the place after them."""
-        if data.startswith(GZIP, place):
-            content, end = inflated(data, place)
-            inner, records = 0, []
-            while inner < len(content):
-                headers, block, inner_end = parsed(content, inner)
-                records.append((place, end - place, headers, block))
-                inner = inner_end
-            found.records.extend(records)
-            return end
-        headers, block, end = parsed(data, place)
-        found.records.append((place, end - place, headers, block))
-        return end
 
+def checked(headers: dict[str, str]) -> bool:
+    """Whether a valid record's block was compared with a digest."""
+    return headers.get("WARC-Payload-Digest", "").startswith("sha256:") and headers.get("WARC-Type") != "revisit"
+
+
+def of_content(content: bytes, place: int, length: int, damage: str) -> Iterator[Entry]:
+    """Records and gaps of a member's content: after a failed check, on at the next version line."""
+    at, bad, reason = 0, None, ""
+    while at < len(content):
+        try:
+            headers, block, end = parsed(content, at)
+        except ValueError as e:
+            if bad is None:
+                bad, reason = at, str(e)
+            at = content.find(LINE, at + 1)
+            at = at if at >= 0 else len(content)
+            continue
+        if bad is not None and not damage:
+            yield place, length, None, None, f"{reason} (bytes {bad} to {at} of the member's content)"
+        bad = None
+        # without a digest, what a damaged member yields may be wrong; it is part of the member's own gap
+        if checked(headers) or not damage.startswith("a damaged"):
+            yield place, length, headers, block, None
+        at = end
+    if bad is not None and not damage:
+        yield place, length, None, None, f"{reason} (bytes {bad} to {at} of the member's content)"
+
+
+def entries(data: bytes) -> Iterator[Entry]:
+    """Records and gaps of an archive as they are found. After a failed check, on at the next valid member or version line.
+
+    Compressed and plain records may follow each other, and a member may hold many records. Bytes that
+    belong to no valid record become gaps with the reason the first check failed; nothing before or
+    after them is lost. Gaps inside a member have its place, and the range of its content in the reason.
+    Whole records that a cut-off member yields count, and of a damaged one those whose digest is right;
+    the gap then spans the member.
+    """
+    at, bad, reason, plain_from = 0, None, "", 0
     while at < len(data):
+        packed, found = data.startswith(GZIP, at), []
         try:
-            end = take(at)
+            if packed:
+                content, end, damage = inflated(data, at)
+                if damage:
+                    found = list(of_content(content, at, end - at, damage))
+                    raise ValueError(damage)
+            else:
+                headers, block, end = parsed(data, at)
         except ValueError as e:
+            if found:
+                if bad is not None:
+                    yield bad, at - bad, None, None, reason
+                    bad = None
+                yield from found
+                # version lines of stored blocks are those of the records just found
+                plain_from = max(plain_from, end)
             if bad is None:
                 bad, reason = at, str(e)
-            signs = [x for x in (data.find(GZIP, at + 1), data.find(LINE, at + 1)) if x >= 0]
+            signs = [x for x in (data.find(GZIP, at + 1), data.find(LINE, max(at + 1, plain_from))) if x >= 0]
             at = min(signs, default=len(data))
             continue
         if bad is not None:
-            found.gaps.append((bad, at, reason))
+            yield bad, at - bad, None, None, reason
             bad = None
+        if packed:
+            yield from of_content(content, at, end - at, "")
+        else:
+            yield at, end - at, headers, block, None
         at = end
     if bad is not None:
-        found.gaps.append((bad, len(data), reason))
+        yield bad, len(data) - bad, None, None, reason
+
+
+def salvage(data: bytes) -> Salvage:
+    """All ``entries`` of an archive, as records and gaps (start, end, reason)."""
+    found = Salvage()
+    for at, length, headers, block, gap in entries(data):
+        if gap is None:
+            found.records.append((at, length, headers, block))
+        else:
+            found.gaps.append((at, at + length, gap))
     return found
 
 
@@ -213,19 +275,26 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records and gaps of all archives below a path: columns of RECORD.
 
     A record has its place, headers and payload (the block); a gap has its place and ``gap``, the
-    reason. An archive is one task's work and must fit it (the usual size is a gigabyte or less); a
+    reason (see ``entries``). Rows go out as they are found. An archive is one task's work and must fit it (the usual size is a gigabyte or less); a
     damaged one costs no other. Empty files give no rows.
     """
     files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RECORD.types)], schema=_RECORD)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                found = salvage(content.as_buffer().to_pybytes())
-                rows = [(o, n, h, b, None) for o, n, h, b in found.records] + [(a, b - a, None, None, why) for a, b, why in found.gaps]
-                for low in range(0, len(rows), 256):
-                    some = [[name.as_py(), r[0], r[1], None if r[2] is None else list(r[2].items()), r[3], r[4]] for r in rows[low : low + 256]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), _RECORD.types)], schema=_RECORD)
+                rows, size = [], 0
+                for offset, length, headers, block, gap in entries(content.as_buffer().to_pybytes()):
+                    rows.append((name.as_py(), offset, length, None if headers is None else list(headers.items()), block, gap))
+                    size += len(block or b"")
+                    if len(rows) >= ROWS_AT_ONCE or size >= BYTES_AT_ONCE:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
 
     return files.mapInArrow(read, RECORD)
 
