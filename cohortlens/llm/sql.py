@@ -56,4 +56,67 @@ SELECT p.page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
 FROM p LEFT JOIN firsts f USING (h)
 """
 
-SQL: dict[str, str] = {"op1_decontamination": DECONTAMINATION, "op5_topk": TOPK, "op6_warc": WARC}
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+), scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id, score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+# a run's smallest period: stretches that keep several periods are equal for all of them
+PERIODIC_RUNS = r"""
+WITH hashed AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+        lambda s, i: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)), 4294967295) AS h
+  FROM documents
+), changed AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS k FROM hashed
+), words AS (
+  SELECT doc_id, n, CASE WHEN again THEN
+    [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + k)) + 1] END FOR i IN range(n)] ELSE w END AS w
+  FROM changed
+), placed AS (
+  SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM words
+), kept_apart AS (
+  SELECT a.doc_id, b.i - a.i AS period, a.i, a.n FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.word = b.word
+    AND b.i > a.i AND (b.i - a.i) * 4 <= a.n
+), stretches AS (
+  SELECT doc_id, period, min(i) AS start, count(*) + period AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, period ORDER BY i) AS same FROM kept_apart)
+  GROUP BY doc_id, period, same HAVING count(*) + period >= greatest(6, 4 * period)
+), runs AS (
+  SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs a WHERE NOT EXISTS (FROM runs b WHERE b.doc_id = a.doc_id AND (b.length * a.period > a.length * b.period
+    OR b.length * a.period = a.length * b.period AND (b.start < a.start OR b.start = a.start AND b.period < a.period)))
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), collapsed AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM placed ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed l USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_decontamination": DECONTAMINATION, "op5_topk": TOPK, "op6_warc": WARC, "op11_hard_negatives": HARD_NEGATIVES,
+    "op13_periodic_runs": PERIODIC_RUNS,
+}
