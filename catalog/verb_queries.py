@@ -17,8 +17,8 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
 
 
-#: Runs and salts of the queries that split their groups.
-RUNS, SALTS = 4, 4
+#: Salts of the query that deals its join out.
+SALTS = 4
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,33 +54,32 @@ def slice_max(spark, sf):
     )
 
 
-def fill_up(spark, sf, runs=None):
-    return W.fill_up(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"], runs)
+def fill_up(spark, sf):
+    return W.fill_up(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"])
 
 
-def fill_up_split(spark, sf):
-    return fill_up(spark, sf, RUNS)
+def fill_downup(spark, sf):
+    return W.fill_downup(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"])
 
 
-def fill_downup(spark, sf, runs=None):
-    return W.fill_downup(_gaps(spark, sf), ["o_custkey"], ["o_day", "o_orderkey"], ["price"], runs)
+def fill_up_status(spark, sf):
+    """The next known price among the orders of a status: three groups, each with much of the table."""
+    gaps = _gaps(spark, sf, "o_orderstatus").drop("o_custkey")
+    return W.fill_up(gaps, ["o_orderstatus"], ["o_day", "o_orderkey"], ["price"])
 
 
-def fill_downup_split(spark, sf):
-    return fill_downup(spark, sf, RUNS)
+def cumsum_all(spark, sf):
+    """Customer numbers added up over the whole table in order: one group."""
+    return W.running_total(orders(spark, sf).select("o_orderkey", "o_custkey", "o_day"), [], ["o_day", "o_orderkey"], "o_custkey", "upto")
 
 
-def r_cumsum(spark, sf, runs=None):
+def r_cumsum(spark, sf):
     price = F.when(F.col("o_orderkey") % 17 != 0, F.col("o_totalprice")).alias("price")
     known = orders(spark, sf).select("o_custkey", "o_orderkey", "o_day", price)
-    out = W.running_total(known, ["o_custkey"], ["o_day", "o_orderkey"], "price", runs=runs)
+    out = W.running_total(known, ["o_custkey"], ["o_day", "o_orderkey"], "price")
     return out.select("o_custkey", "o_orderkey", F.round("cumsum", 2).alias("cumsum"))
 
 
-def r_cumsum_split(spark, sf):
-    return r_cumsum(spark, sf, RUNS)
-
-
 def group_max(spark, sf):
     return W.group_max(
         orders(spark, sf).select("o_custkey", "o_orderkey", "o_totalprice", "o_day"),
@@ -342,7 +341,6 @@ QUERIES = {
         inner_join, parent_join, prior_state, count_by, count_pred, quantile_summary, pct_table, pct_of,
         anova_orders, pivot_counts, pivot_values, pivot_bool, pivot_longer, replicate_rows, expand_years,
         separate_unite, union_by_name, union_missing, stack_tables, zip_by_key, mask_cells, mutate_if_round,
-        select_range, drop_range, with_cols_rename, arrange_levels, fill_up_split,
-        fill_downup_split, r_cumsum_split, left_join_split,
+        select_range, drop_range, with_cols_rename, arrange_levels, fill_up_status, cumsum_all, left_join_split,
     )
 }

@@ -43,6 +43,12 @@ SQL = {
             SELECT *, sum(price) OVER w AS total, sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END) OVER w AS bad
             FROM (SELECT o_custkey, o_orderkey, o_day, CASE WHEN o_orderkey % 17 <> 0 THEN o_totalprice END AS price FROM {ORDERS})
             WINDOW w AS (PARTITION BY o_custkey ORDER BY o_day, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+    "fill_up_status": f"""
+        SELECT o_orderkey, o_day, o_orderstatus, first_value(price IGNORE NULLS) OVER (
+            PARTITION BY o_orderstatus ORDER BY o_day, o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS price
+        FROM (SELECT o_orderkey, o_day, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM {ORDERS})""",
+    "cumsum_all": f"""
+        SELECT o_orderkey, o_custkey, o_day, CAST(sum(o_custkey) OVER (ORDER BY o_day, o_orderkey) AS BIGINT) AS upto FROM {ORDERS}""",
     "group_max": f"""
         SELECT o_custkey, o_orderkey, o_totalprice, o_day, max(o_totalprice) OVER (PARTITION BY o_custkey) AS max_price,
                max(o_day) OVER (PARTITION BY o_custkey) AS last_day
@@ -159,9 +165,5 @@ SQL = {
     "with_cols_rename": "SELECT c_custkey, c_acctbal AS account, c_acctbal / 2 AS half, c_acctbal / 2 - 1 AS rest FROM customer",
     "arrange_levels": f"SELECT * FROM {CELLS} ORDER BY o_orderpriority DESC, o_orderstatus",
 }
-# the queries that split their groups give what the plain ones give
-PLAIN = {
-    "fill_up_split": "fill_up", "fill_downup_split": "fill_downup", "r_cumsum_split": "r_cumsum",
-    "left_join_split": "left_join_named",
-}
-SQL |= {split: SQL[plain] for split, plain in PLAIN.items()}
+# a join that is dealt out gives what the plain one gives
+SQL["left_join_split"] = SQL["left_join_named"]

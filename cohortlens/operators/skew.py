@@ -3,7 +3,7 @@
 Nothing here looks at the data while a plan is built, and no list of keys is gathered. Joins have
 one row per key on one side as a rule, so adaptive execution can split a partition that a hot key
 fills; a caller that knows better deals a join out by ``salts``. Verbs that follow the order of
-rows cut every group into ``runs`` when asked to.
+rows are prefix scans over runs of rows, which have like sizes however the rows fall into groups.
 """
 
 from __future__ import annotations
@@ -66,21 +66,45 @@ def sortable(order: Sequence[str]) -> Column:
     return F.struct(*[x.alias(f"{k}{i}") for i, c in enumerate(order) for k, x in (("n", F.col(c).isNull()), ("v", F.col(c)))])
 
 
-def order_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], runs: int) -> DataFrame:
-    """Add ``_run``: each group is cut into at most ``runs`` runs along all its order columns.
+#: Cuts drawn for a scan (a table of 10^10 rows falls into runs of some million rows), and the rows that a run has at least.
+CUTS, RUN_ROWS = 8192, 10_000
 
-    A group's cuts are ``runs - 1`` of its own rows, drawn by a hash of their order values: the drawn
-    row of each hash class is the one with the smallest second hash, found by a combined minimum.
-    Rows share a run for certain only if they share all order values. The cuts depend on the rows
-    alone, so a task that is run again finds the same ones.
+
+def order_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: int = CUTS) -> DataFrame:
+    """One row with ``_cuts``: places of (group, order) that cut the table into runs of like size, ascending.
+
+    They are the table's own rows whose hash falls below a share of all hashes: about ``cuts`` of them, one for
+    RUN_ROWS rows in a smaller table, and never more than twice ``cuts``. A group has as many cuts as its share of the rows; most groups have none. The cuts depend
+    on the rows alone, so a task that is run again, or a second look at the table, finds the same ones.
     """
-    place = sortable(order)
-    drawn = df.select(*by, place.alias("_place")).withColumns(
-        {"_class": F.pmod(F.xxhash64("_place"), F.lit(max(runs - 1, 1))), "_draw": F.xxhash64(F.lit(7), "_place")}
-    )
-    firsts = drawn.groupBy(*by, "_class").agg(F.min(F.struct("_draw", "_place"))["_place"].alias("_place"))
-    cuts = firsts.groupBy(*by).agg(F.collect_list("_place").alias("_cuts"))  # at most runs - 1 of them
-    side = cuts.withColumnsRenamed({c: f"_g_{c}" for c in by})
-    joined = df.join(side, same_keys(df, side, [(c, f"_g_{c}") for c in by]), "left")
-    run = F.size(F.filter("_cuts", lambda cut: cut <= place))
-    return joined.withColumn("_run", run).drop("_cuts", *[f"_g_{c}" for c in by])
+    place = sortable([*by, *order])
+    share = F.least(F.lit(float(cuts)) / df.agg(F.count(F.lit(1)).cast("double")).scalar(), F.lit(1.0 / RUN_ROWS))
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), place), 11).cast("double") * F.lit(2.0**-53)
+    drawn = df.select(*by, *order).filter(unit < share)
+    found = F.slice(F.sort_array(F.collect_set(sortable([*by, *order]))), 1, 2 * cuts)
+    return drawn.agg(found.alias("_cuts"))
+
+
+def order_runs(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: int = CUTS
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_run``, the number of cuts at or before a row, and the few rows of its ``cut groups``.
+
+    A run of a group is a stretch of its rows in order; rows share one for certain only if they share all order
+    values. Only groups that hold a cut have several runs, so what is carried from run to run concerns at most
+    2 ``cuts`` groups: the second frame has their rows.
+    """
+    found = order_cuts(df, by, order, cuts)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * cuts).bit_length()))])
+    place = sortable([*by, *order])
+
+    def further(at: Column, step: Column) -> Column:
+        # there is nothing (null) beyond the last cut; the cuts are named once, which lets the optimizer
+        # put them here as one value of the query: they never become a column of the rows
+        return F.when(F.get("_cuts", at + step - 1) <= place, at + step).otherwise(at)
+
+    rows = df.withColumn("_cuts", found.scalar()).withColumn("_run", F.aggregate(steps, F.lit(0), further)).drop("_cuts")
+    groups = found.select(F.explode("_cuts").alias("_cut"))
+    groups = groups.select(*[F.col(f"_cut.v{i}").alias(f"_g_{c}") for i, c in enumerate(by)]).distinct()
+    several = rows.join(F.broadcast(groups), same_keys(rows, groups, [(c, f"_g_{c}") for c in by]), "left_semi")
+    return rows, several

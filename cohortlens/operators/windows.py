@@ -1,14 +1,15 @@
 """First-row picks, fills and running sums within groups.
 
 Row order is never implied: verbs that depend on it take the order columns, ascending with
-nulls last, and expect them to order the rows of a group fully. Fills and running sums take a
-group as a whole, sorted and read row by row, unless ``runs`` is given: then every group is cut into
-that many runs, which different tasks take. Give it where one group may hold much of the table.
+nulls last, and expect them to order the rows of a group fully. Fills and running sums are
+prefix scans: the table is cut along (group, order) into runs of like size, each run is worked off
+by itself, and what crosses a seam inside a group is carried over. ``small`` is for frames of a few
+aggregated rows, where one window does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,81 +72,90 @@ def share_within(df: DataFrame, by: Sequence[str], n: str, name: str = "share",
     return out.withColumn(name, F.try_divide(F.col(n).cast("double"), F.col("_total").cast("double"))).drop("_total")
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-    side = carry.withColumnsRenamed({c: f"_c_{c}" for c in [*by, "_run"]})
-    pairs = [(c, f"_c_{c}") for c in [*by, "_run"]]
-    return rows.join(side, same_keys(rows, side, pairs), "left").drop(*[b for _, b in pairs])
+def _scan(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], local: Callable, edges: Mapping[str, Column],
+    carried: Callable, finish: Mapping[str, Column], small: bool,
+) -> DataFrame:
+    """A prefix scan in the order of each group, without a group meeting in one task.
 
+    ``local`` gives columns over a window (partition columns), within a run; ``edges`` are aggregates of a run;
+    ``carried`` makes of them what comes over the seams (partition columns, order by run); ``finish`` puts the two
+    together. One shuffle moves the rows; those of ``edges`` and ``carried`` move one row per run of a cut group.
+    """
+    keys = list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(1))
+    if small:
+        found = rows.withColumns(local(keys)).withColumns({c: F.lit(None) for c in carried(keys)})
+        return found.withColumns(finish).select(*df.columns, *[c for c in finish if c not in df.columns])
+    runs, several = order_runs(rows, keys, order)
+    summary = several.groupBy(*keys, "_run").agg(*[a.alias(n) for n, a in edges.items()])
+    carry = summary.select(
+        *[F.col(c).alias(f"_c_{c}") for c in [*keys, "_run"]], *[c.alias(n) for n, c in carried(keys).items()]
+    )
+    filled = runs.withColumns(local([*keys, "_run"]))
+    # one row per run of a cut group: at most twice the cuts and as many groups
+    joined = filled.join(F.broadcast(carry), same_keys(filled, carry, [(c, f"_c_{c}") for c in [*keys, "_run"]]), "left")
+    return joined.withColumns(finish).select(*df.columns, *[c for c in finish if c not in df.columns])
 
-def _edge_values(cut: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], last: bool):
-    """First or last non-null value of each column in every run."""
-    pick = F.max_by if last else F.min_by
-    edges = [pick(F.col(c), F.when(F.col(c).isNotNull(), sortable(order))).alias(f"_e_{c}") for c in cols]
-    return cut.groupBy(*by, "_run").agg(*edges)
 
+def _edge(pick: Callable, c: str, order: Sequence[str]) -> Column:
+    """A column's non-null value that comes first or last in order."""
+    return pick(F.col(c), F.when(F.col(c).isNotNull(), sortable(order)))
 
-def fill_up(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], runs: int | None = None
-) -> DataFrame:
+
+def fill_up(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], small: bool = False) -> DataFrame:
     """Replace nulls by the next non-null value of the group."""
-    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
-    # running backwards lets the frame grow row by row; a frame that shrinks is recomputed per row
-    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order])
-    filled = {c: F.last(c, ignorenulls=True).over(back.rowsBetween(START, 0)) for c in cols}
-    if runs is None:
-        return rows.withColumns(filled)
-    later = Window.partitionBy(*by).orderBy(F.desc("_run")).rowsBetween(START, -1)
-    carry = _edge_values(rows, by, order, cols, last=False).select(
-        *by, "_run", *[F.last(f"_e_{c}", ignorenulls=True).over(later).alias(f"_n_{c}") for c in cols]
-    )
-    out = _join_carry(rows.withColumns(filled), carry, by)
-    return out.withColumns({c: F.coalesce(c, f"_n_{c}") for c in cols}).select(*df.columns)
 
+    def local(keys):
+        # running backwards lets the frame grow row by row; a frame that shrinks is recomputed per row
+        back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order]).rowsBetween(START, 0)
+        return {f"_l_{c}": F.last(c, ignorenulls=True).over(back) for c in cols}
 
-def fill_downup(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], runs: int | None = None
-) -> DataFrame:
+    def carried(keys):
+        later = Window.partitionBy(*keys).orderBy(F.desc("_run")).rowsBetween(START, -1)
+        return {f"_n_{c}": F.last(f"_e_{c}", ignorenulls=True).over(later) for c in cols}
+
+    edges = {f"_e_{c}": _edge(F.min_by, c, order) for c in cols}
+    return _scan(df, by, order, local, edges, carried, {c: F.coalesce(f"_l_{c}", f"_n_{c}") for c in cols}, small)
+
+
+def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], small: bool = False) -> DataFrame:
     """Replace nulls by the previous non-null value of the group, or else by its first one."""
-    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
-    w = Window.partitionBy(*keys).orderBy(*_ascending(order))
-    running, whole = w.rowsBetween(START, 0), w.rowsBetween(START, END)
-    previous = {c: F.last(c, ignorenulls=True).over(running) for c in cols}
-    if runs is None:
-        first = {c: F.first(c, ignorenulls=True).over(whole) for c in cols}
-        return rows.withColumns({c: F.coalesce(previous[c], first[c]) for c in cols})
-    along = Window.partitionBy(*by).orderBy("_run")
-    earlier, every = along.rowsBetween(START, -1), along.rowsBetween(START, END)
-    ends = _edge_values(rows, by, order, cols, last=True)
-    starts = _edge_values(rows, by, order, cols, last=False).withColumnsRenamed({f"_e_{c}": f"_f_{c}" for c in cols})
-    edges = _join_carry(ends, starts, by)
-    carry = edges.select(
-        *by, "_run",
-        *[F.last(f"_e_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(every).alias(f"_n_{c}") for c in cols],
-    )
-    out = _join_carry(rows.withColumns(previous), carry, by)
-    return out.withColumns({c: F.coalesce(c, f"_p_{c}", f"_n_{c}") for c in cols}).select(*df.columns)
+
+    def local(keys):
+        w = Window.partitionBy(*keys).orderBy(*_ascending(order))
+        previous = {f"_l_{c}": F.last(c, ignorenulls=True).over(w.rowsBetween(START, 0)) for c in cols}
+        return previous | {f"_f_{c}": F.first(c, ignorenulls=True).over(w.rowsBetween(START, END)) for c in cols}
+
+    def carried(keys):
+        along = Window.partitionBy(*keys).orderBy("_run")
+        earlier = {f"_p_{c}": F.last(f"_e_{c}", ignorenulls=True).over(along.rowsBetween(START, -1)) for c in cols}
+        return earlier | {f"_n_{c}": F.first(f"_s_{c}", ignorenulls=True).over(along.rowsBetween(START, END)) for c in cols}
+
+    edges = {f"_e_{c}": _edge(F.max_by, c, order) for c in cols} | {f"_s_{c}": _edge(F.min_by, c, order) for c in cols}
+    finish = {c: F.coalesce(f"_l_{c}", f"_p_{c}", f"_n_{c}", f"_f_{c}") for c in cols}
+    return _scan(df, by, order, local, edges, carried, finish, small)
 
 
 def running_total(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, name: str = "cumsum", runs: int | None = None
+    df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, name: str = "cumsum", small: bool = False
 ) -> DataFrame:
     """Running sum in group order; after the first null everything is null.
 
-    Sums of doubles may differ in their last digits with ``runs``; sums of decimals do not.
+    Runs are summed first and then together, so sums of doubles may differ in their last digits from
+    a sum row by row; sums of whole numbers and decimals do not.
     """
-    rows, keys = (df, list(by)) if runs is None else (order_runs(df, by, order, runs), [*by, "_run"])
-    w = Window.partitionBy(*keys).orderBy(*_ascending(order)).rowsBetween(START, 0)
-    total, broken = F.sum(x).over(w), F.max(F.col(x).isNull()).over(w)
-    if runs is None:
-        return rows.withColumn(name, F.when(~broken, total))
-    before = Window.partitionBy(*by).orderBy("_run").rowsBetween(START, -1)
-    sums = rows.groupBy(*by, "_run").agg(F.sum(x).alias("_s"), F.max(F.col(x).isNull()).alias("_b"))
-    carry = sums.select(
-        *by, "_run", F.sum("_s").over(before).alias("_before"), F.max("_b").over(before).alias("_was_broken")
-    )
-    out = _join_carry(rows.withColumns({"_total": total, "_broken": broken}), carry, by)
-    value = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_total")
-    whole = ~F.col("_broken") & ~F.coalesce(F.col("_was_broken"), F.lit(False))
-    kind = dict(out.dtypes)["_total"]
-    return out.withColumn(name, F.when(whole, value).cast(kind)).select(*df.columns, name)
+
+    def local(keys):
+        w = Window.partitionBy(*keys).orderBy(*_ascending(order)).rowsBetween(START, 0)
+        return {"_total": F.sum(x).over(w), "_broken": F.max(F.col(x).isNull()).over(w)}
+
+    def carried(keys):
+        before = Window.partitionBy(*keys).orderBy("_run").rowsBetween(START, -1)
+        return {"_before": F.sum("_s").over(before), "_was_broken": F.max("_b").over(before)}
+
+    edges = {"_s": F.sum(x), "_b": F.max(F.col(x).isNull())}
+    kind = df.agg(F.sum(x).alias("s")).dtypes[0][1]
+    value = F.coalesce(F.col("_before").cast(kind), F.lit(0).cast(kind)) + F.col("_total")
+    whole = ~F.col("_broken") & ~F.coalesce(F.col("_was_broken").cast("boolean"), F.lit(False))
+    return _scan(df, by, order, local, edges, carried, {name: F.when(whole, value).cast(kind)}, small)

@@ -329,7 +329,7 @@ def asfr_long(rates: DataFrame, masked: Sequence[tuple[str, str]] = tuple(fv.MAS
 def cumulative_fertility(masked_rates: DataFrame, by: Sequence[str] = ("EverMarried",)) -> DataFrame:
     """Children born up to the end of each age group, one column per age group, rounded."""
     groups = ["Generation", *by]
-    running = running_total(masked_rates, groups, ["Agegroup"], "value", "_cum")
+    running = running_total(masked_rates, groups, ["Agegroup"], "value", "_cum", small=True)
     known = running.withColumn("_cum", fv.AGE_GROUP_WIDTH * F.col("_cum")).filter(F.col("_cum").isNotNull())
     labels = list(fv.AGE_DISPLAY.values())
     wide = pivot_values(known, groups, "Agegroup", "_cum", labels)

@@ -1,4 +1,6 @@
-"""Groups that are cut into runs, and joins that are dealt out: they give what the plain ones give."""
+"""Prefix scans over runs of rows, and joins that are dealt out: they give what plain ones give."""
+
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,13 @@ from cohortlens.operators import joins as J
 from cohortlens.operators import skew as K
 from cohortlens.operators import windows as W
 
-RUNS = 6
+SALTS = 6
+
+
+@pytest.fixture(autouse=True)
+def short_runs(monkeypatch):
+    """Runs of some ten rows, so that small groups are cut too."""
+    monkeypatch.setattr(K, "RUN_ROWS", 10)
 
 
 @pytest.fixture(scope="module")
@@ -26,11 +34,16 @@ def skewed(spark):
     return df.repartition(5).cache()
 
 
-def both(fn, rows, split=RUNS):
-    cut, plain = fn(split), fn(None)
-    assert cut.dtypes == plain.dtypes
-    assert rows(cut) == rows(plain)
-    return cut
+def both(fn, rows, other=SALTS, usual=None):
+    one, two = fn(other), fn(usual)
+    assert one.dtypes == two.dtypes
+    assert rows(one) == rows(two)
+    return one
+
+
+def scanned(fn, rows):
+    """``fn`` with and without ``small``: cut into runs, and by one window."""
+    return both(fn, rows, False, True)
 
 
 ORDERS = {
@@ -49,8 +62,8 @@ ORDERS = {
 @pytest.mark.parametrize("kind", ORDERS)
 def test_fills(skewed, rows, kind):
     df = skewed.withColumn("s", F.expr(ORDERS[kind]))
-    both(lambda n: W.fill_up(df, ["k"], ["s", "i"], ["v", "w"], n), rows)
-    both(lambda n: W.fill_downup(df, ["k"], ["s", "i"], ["v", "w"], n), rows)
+    scanned(lambda small: W.fill_up(df, ["k"], ["s", "i"], ["v", "w"], small), rows)
+    scanned(lambda small: W.fill_downup(df, ["k"], ["s", "i"], ["v", "w"], small), rows)
 
 
 def test_local_times_around_a_clock_change(spark, skewed, rows):
@@ -60,37 +73,70 @@ def test_local_times_around_a_clock_change(spark, skewed, rows):
     try:
         start = F.lit("2021-11-07 00:00:00").cast("timestamp_ntz")
         df = skewed.withColumn("s", start + F.make_dt_interval(mins=F.col("o").cast("int")))
-        both(lambda n: W.fill_up(df, ["k"], ["s", "i"], ["v"], n), rows)
-        both(lambda n: W.running_total(df.withColumn("w", F.col("i")), ["k"], ["s", "i"], "w", runs=n), rows)
+        scanned(lambda small: W.fill_up(df, ["k"], ["s", "i"], ["v"], small), rows)
+        scanned(lambda small: W.running_total(df.withColumn("w", F.col("i")), ["k"], ["s", "i"], "w", small=small), rows)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_running_total(skewed, rows):
     whole = skewed.withColumn("w", F.coalesce("w", F.lit(1.0)))
-    both(lambda n: W.running_total(whole, ["k"], ["o", "i"], "w", runs=n), rows)
+    scanned(lambda small: W.running_total(whole, ["k"], ["o", "i"], "w", small=small), rows)
     exact = whole.withColumn("w", F.col("w").cast("decimal(10,2)"))
-    both(lambda n: W.running_total(exact, ["k"], ["o", "i"], "w", runs=n), rows)
-    poisoned = both(lambda n: W.running_total(skewed, ["k"], ["o", "i"], "w", runs=n), rows)
+    scanned(lambda small: W.running_total(exact, ["k"], ["o", "i"], "w", small=small), rows)
+    poisoned = scanned(lambda small: W.running_total(skewed, ["k"], ["o", "i"], "w", small=small), rows)
     assert poisoned.filter("cumsum IS NULL").count() > 0
 
 
-@pytest.mark.parametrize("runs", [1, 2, 40])
-def test_any_number_of_runs(skewed, rows, runs):
-    both(lambda n: W.fill_downup(skewed, ["k"], ["o", "i"], ["v", "w"], n), rows, runs)
+@pytest.mark.parametrize("by", [[], ["k", "t"]])
+def test_no_group_and_several_keys(skewed, rows, by):
+    df = skewed.withColumn("t", F.when(F.col("i") % 5 != 0, "x"))
+    scanned(lambda small: W.fill_up(df, by, ["d", "i"], ["v", "w"], small), rows)
+    scanned(lambda small: W.fill_downup(df, by, ["d", "i"], ["v", "w"], small), rows)
+    scanned(lambda small: W.running_total(df, by, ["d", "i"], "i", small=small), rows)
+
+
+@pytest.mark.parametrize("run_rows", [1, 3, 100, 10_000])
+def test_any_length_of_runs(skewed, rows, monkeypatch, run_rows):
+    monkeypatch.setattr(K, "RUN_ROWS", run_rows)
+    scanned(lambda small: W.fill_downup(skewed, ["k"], ["o", "i"], ["v", "w"], small), rows)
 
 
 def test_empty_table(skewed):
-    assert W.fill_up(skewed.filter("i < 0"), ["k"], ["o"], ["v"], RUNS).count() == 0
+    assert W.fill_up(skewed.filter("i < 0"), ["k"], ["o"], ["v"]).count() == 0
+    assert W.running_total(skewed.filter("i < 0"), [], ["o"], "i").count() == 0
 
 
 @pytest.mark.parametrize("kind", ["number", "long common beginning", "one busy day"])
-def test_runs_share_a_group(skewed, kind):
-    """200 rows over 40 runs: none holds more than a fifth, also where the first order column is of no use."""
-    cut = K.order_runs(skewed.withColumn("s", F.expr(ORDERS[kind])), ["k"], ["s", "i"], 40)
-    sizes = cut.filter("k = 1").groupBy("_run").count()
-    assert sizes.agg(F.max("count")).first()[0] <= 40
-    assert 20 <= sizes.count() <= 40
+@pytest.mark.parametrize("by", [["k"], []])
+def test_runs_have_like_sizes(spark, monkeypatch, kind, by):
+    """6,000 rows, a third of them in one group, also where the first order column is of no use, or no group is asked for."""
+    monkeypatch.setattr(K, "RUN_ROWS", 100)
+    i = F.col("id").alias("i")
+    df = spark.range(6000).select(F.when(i % 3 == 0, 1).otherwise(i).alias("k"), (i * 7919 % 6007).alias("o"), i)
+    cut, several = K.order_runs(df.withColumn("s", F.expr(ORDERS[kind])), by or ["s"], ["s", "i"])
+    sizes = cut.groupBy("_run").count()
+    assert 40 <= sizes.count() <= 90 and sizes.agg(F.max("count")).first()[0] <= 800
+    if by:  # the large group is cut by its share; of the others at most one each
+        assert 10 <= cut.filter("k = 1").select("_run").distinct().count() <= 35
+        assert several.filter("k <> 1").count() <= 90
+
+
+def test_cuts_are_bounded(skewed, monkeypatch):
+    monkeypatch.setattr(K, "RUN_ROWS", 1)
+    assert len(K.order_cuts(skewed, ["k"], ["i"], cuts=10).first()["_cuts"]) <= 20
+    assert len(K.order_cuts(skewed, ["k"], ["i"]).first()["_cuts"]) == 600
+
+
+def test_a_scan_moves_the_rows_once(skewed):
+    """Three shuffles: of the rows, and twice of one row per run; the cuts are a value of the query and no column."""
+    for out in (
+        W.fill_up(skewed, ["k"], ["o", "i"], ["v"]), W.fill_downup(skewed, ["k"], ["o", "i"], ["v"]),
+        W.running_total(skewed, ["k"], ["o", "i"], "w"),
+    ):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == 3
+        assert not re.search(r"Project \[[^\]]*\b_cuts#\d+[,\]]", text.split("Subquery")[0])
 
 
 def test_group_values(skewed, rows):
@@ -110,9 +156,9 @@ def test_nothing_runs_while_a_plan_is_built(spark, skewed):
     spark.sparkContext.setJobGroup("plan", "plan")
     try:
         other = skewed.select(F.col("k").alias("j"))
-        W.fill_up(skewed, ["k"], ["o"], ["v"], RUNS)
-        W.fill_downup(skewed, ["k"], ["o"], ["v"], RUNS)
-        W.running_total(skewed, ["k"], ["o"], "w", runs=RUNS)
+        W.fill_up(skewed, ["k"], ["o"], ["v"])
+        W.fill_downup(skewed, ["k"], ["o"], ["v"])
+        W.running_total(skewed, ["k"], ["o"], "w")
         W.group_max(skewed, ["k"], {"m": "v"})
         J.semi(skewed, other, "k", "j")
         J.in_flag(skewed, other, "k", "hit", "j")
