@@ -66,45 +66,54 @@ def sortable(order: Sequence[str]) -> Column:
     return F.struct(*[x.alias(f"{k}{i}") for i, c in enumerate(order) for k, x in (("n", F.col(c).isNull()), ("v", F.col(c)))])
 
 
-#: Cuts drawn for a scan (a table of 10^10 rows falls into runs of some million rows), and the rows that a run has at least.
-CUTS, RUN_ROWS = 8192, 10_000
+#: Cuts drawn for a scan (a table of 10^10 rows falls into runs of some million rows), the rows that a run has at
+#: least, and the cuts that are looked through at a time.
+CUTS, RUN_ROWS, BLOCK = 8192, 10_000, 128
 
 
 def order_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: int = CUTS) -> DataFrame:
-    """One row with ``_cuts``: places of (group, order) that cut the table into runs of like size, ascending.
+    """Places in the groups (``by`` and ``_cut``) that cut the table into runs of like size.
 
     They are the table's own rows whose hash falls below a share of all hashes: about ``cuts`` of them, one for
-    RUN_ROWS rows in a smaller table, and never more than twice ``cuts``. A group has as many cuts as its share of the rows; most groups have none. The cuts depend
-    on the rows alone, so a task that is run again, or a second look at the table, finds the same ones.
+    RUN_ROWS rows in a smaller table, and never more than twice ``cuts``. A group has as many as its share of the
+    rows; most groups have none. The cuts depend on the rows alone, so a task that is run again, or a
+    second look at the table, finds the same ones.
     """
-    place = sortable([*by, *order])
-    share = F.least(F.lit(float(cuts)) / df.agg(F.count(F.lit(1)).cast("double")).scalar(), F.lit(1.0 / RUN_ROWS))
-    unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), place), 11).cast("double") * F.lit(2.0**-53)
-    drawn = df.select(*by, *order).filter(unit < share)
-    found = F.slice(F.sort_array(F.collect_set(sortable([*by, *order]))), 1, 2 * cuts)
-    return drawn.agg(found.alias("_cuts"))
+    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), *by, *order), 11).cast("double") * F.lit(2.0**-53)
+    drawn = df.select(*by, *order).filter(unit < F.least(F.lit(float(cuts)) / rows, F.lit(1.0 / RUN_ROWS)))
+    return drawn.distinct().select(*by, sortable(order).alias("_cut")).limit(2 * cuts)
 
 
 def order_runs(
     df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: int = CUTS
 ) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``_run``, the number of cuts at or before a row, and the few rows of its ``cut groups``.
+    """``df`` with ``_run``, the number of cuts of a row's group at or before it, and the rows of the groups that have cuts.
 
-    A run of a group is a stretch of its rows in order; rows share one for certain only if they share all order
-    values. Only groups that hold a cut have several runs, so what is carried from run to run concerns at most
-    2 ``cuts`` groups: the second frame has their rows.
+    A run is a stretch of a group's rows in order; rows share one for certain only if they share all order
+    values. What is carried from run to run concerns the groups with cuts only, ``2 * cuts`` at most. A row finds its
+    run among the first cuts of its group's blocks and then within a block, both broadcast.
     """
-    found = order_cuts(df, by, order, cuts)
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * cuts).bit_length()))])
-    place = sortable([*by, *order])
-
-    def further(at: Column, step: Column) -> Column:
-        # there is nothing (null) beyond the last cut; the cuts are named once, which lets the optimizer
-        # put them here as one value of the query: they never become a column of the rows
-        return F.when(F.get("_cuts", at + step - 1) <= place, at + step).otherwise(at)
-
-    rows = df.withColumn("_cuts", found.scalar()).withColumn("_run", F.aggregate(steps, F.lit(0), further)).drop("_cuts")
-    groups = found.select(F.explode("_cuts").alias("_cut"))
-    groups = groups.select(*[F.col(f"_cut.v{i}").alias(f"_g_{c}") for i, c in enumerate(by)]).distinct()
-    several = rows.join(F.broadcast(groups), same_keys(rows, groups, [(c, f"_g_{c}") for c in by]), "left_semi")
-    return rows, several
+    numbered = order_cuts(df, by, order, cuts).withColumn(
+        "_block", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy("_cut")) - 1) / BLOCK).cast("int")
+    )
+    within = numbered.groupBy(*by, "_block").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+    firsts = within.groupBy(*by).agg(F.sort_array(F.collect_list(F.col("_cuts")[0])).alias("_firsts"))
+    place = sortable(order)
+
+    def joined(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+        hidden = side.withColumnsRenamed({c: f"_g_{c}" for c in keys})
+        return rows.join(F.broadcast(hidden), same_keys(rows, hidden, [(c, f"_g_{c}") for c in keys]), how)
+
+    def upto(array: str) -> Column:
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(BLOCK.bit_length()))])
+        # there is nothing (null) beyond the last cut
+        step = lambda at, n: F.when(F.get(array, at + n - 1) <= place, at + n).otherwise(at)
+        return F.when(F.col(array).isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+
+    blocked = joined(df, firsts, by).withColumn("_block", upto("_firsts") - 1).select(*df.columns, "_block")
+    found = joined(blocked, within, [*by, "_block"]).withColumn(
+        "_run", F.when(F.col("_block") < 0, 0).otherwise(F.col("_block") * BLOCK + upto("_cuts"))
+    )
+    rows = found.select(*df.columns, "_run")
+    return rows, joined(rows, firsts.select(*by), by, "left_semi")

@@ -4,7 +4,7 @@ Births and exposure of a woman are both folded to one row before anything is joi
 one count per age group, exposure as a 64-bit mask of the years she lived under observation
 (bit k: the calendar year k years after her year of birth). Bitwise-or combines on the map
 side, and the years spent in an age group are a bit count, so no year rows, no distinct and no
-set per woman are needed for the rates. ``person_years`` gives the same years as rows.
+set per woman are needed. ``person_years`` writes the same years out as rows.
 """
 
 from __future__ import annotations
@@ -122,13 +122,8 @@ def cohort_women(episodes: DataFrame) -> DataFrame:
 
 
 def _born(year: Column) -> Column:
-    """The year starts at birth or later.
-
-    The same as comparing with the date as a fractional year, in whole numbers: a year starts after
-    the birth date unless it is the year of birth (and the birth not on 1 January).
-    """
-    born = F.col("DoB")
-    return (year > F.year(born)) | ((year == F.year(born)) & (F.dayofyear(born) == 1))
+    """The year starts at birth or later: it is after the year of the day before the birth."""
+    return year > F.year(F.date_sub("DoB", 1))
 
 
 def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:
@@ -150,23 +145,61 @@ def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:
     return folded.withColumn("Full", F.coalesce(full, F.lit(False)))
 
 
-def person_years(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_YEAR) -> DataFrame:
-    """One row per woman and calendar year lived.
+def lived_masks(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_YEAR) -> DataFrame:
+    """One row per woman with the years she lived, as bits: ``Low`` and ``High`` hold the years 0 to 63 and 64 to 127
+    after her year of birth.
 
     Women of the full frame have every year from birth to their last observed one (generated
-    years stay within y0..y1); other women the years they were observed in.
+    years stay within y0..y1); other women the years they were observed in. Bitwise-or has a buffer of fixed
+    size, whatever the number of her rows. An observation 128 years after birth or later is no year of a life.
     """
-    year = F.year("StartDate")
-    # distinct calendar years of one life: small however many rows a woman has
-    seen = {"Seen": F.collect_set(F.when(_born(year), year))}
-    # the date of death may stand on some of a woman's rows only, so years after it go after the fold
-    alive = F.filter("Seen", lambda y: F.col("DoD").isNull() | (y <= F.year("DoD")))
-    women = _women_folded(episodes, seen).withColumn("Seen", alive).filter(F.size("Seen") > 0)
-    born = F.ceil(decimal_date(F.col("DoB"))).cast("int")
-    first, last = F.greatest(born, F.lit(y0)), F.least(F.array_max("Seen"), F.lit(y1))
-    all_years = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    years = F.when(F.col("Full"), F.array_union(all_years, F.col("Seen"))).otherwise(F.col("Seen"))
-    return women.select("IndividualId", "DoB", F.explode(years).alias("Year"))
+    k = F.year("StartDate") - F.year("DoB")
+    seen = _born(F.year("StartDate"))
+    masks = {
+        "SeenLow": F.bit_or(F.when(seen & (k < BITS), _shifted(k))),
+        "SeenHigh": F.bit_or(F.when(seen & (k >= BITS) & (k < 2 * BITS), _shifted(k - BITS))),
+    }
+    none = F.lit(0).cast("long")
+    # the date of death may stand on some of a woman's rows only: years are cut at it after the fold
+    died = F.coalesce(F.year("DoD") - F.year("DoB"), F.lit(2 * BITS))
+    folded = _women_folded(episodes, masks).withColumn("Died", died)
+    alive = folded.withColumns(
+        {
+            "SeenLow": F.coalesce("SeenLow", none).bitwiseAND(_upto(F.col("Died"))),
+            "SeenHigh": F.coalesce("SeenHigh", none).bitwiseAND(_upto(F.col("Died") - BITS)),
+        }
+    ).filter((F.col("SeenLow") != 0) | (F.col("SeenHigh") != 0))
+    newest = F.when(F.col("SeenHigh") != 0, F.length(F.bin("SeenHigh")) + (BITS - 1)).otherwise(F.length(F.bin("SeenLow")) - 1)
+    spans = alive.withColumns(
+        {
+            "Until": F.least(newest, F.lit(y1) - F.year("DoB")),
+            "From": F.greatest(F.lit(y0), F.year(F.date_sub("DoB", 1)) + 1) - F.year("DoB"),
+        }
+    )
+
+    def filled(shift: int) -> Column:
+        before = F.bitwise_not(_upto(F.col("From") - (shift + 1)))
+        return F.when(F.col("Full"), _upto(F.col("Until") - shift).bitwiseAND(before)).otherwise(none)
+
+    return spans.select(
+        "IndividualId", "DoB", "Full", "EverMarried",
+        F.col("SeenLow").bitwiseOR(filled(0)).alias("Low"), F.col("SeenHigh").bitwiseOR(filled(BITS)).alias("High"),
+    )
+
+
+def _has_bit(k: Column) -> Column:
+    """Whether year k is lived."""
+    low = F.call_function("shiftrightunsigned", F.col("Low"), k.cast("int"))
+    high = F.call_function("shiftrightunsigned", F.col("High"), (k - BITS).cast("int"))
+    return F.when(k < BITS, low).otherwise(high).bitwiseAND(F.lit(1).cast("long"))
+
+
+def person_years(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_YEAR) -> DataFrame:
+    """One row per woman and calendar year lived (see :func:`lived_masks`), written out from the bits."""
+    years = lived_masks(episodes, y0, y1).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2 * BITS - 1))))
+    return years.filter(_has_bit(F.col("_k")) == 1).select(
+        "IndividualId", "DoB", (F.year("DoB") + F.col("_k")).alias("Year")
+    )
 
 
 def with_age_and_cohort(years: DataFrame) -> DataFrame:
@@ -191,36 +224,18 @@ def _mask(lo: int, hi: int) -> int:
 
 
 def lived_mask(episodes: DataFrame, y1: int = fv.LAST_YEAR) -> DataFrame:
-    """One row per woman: cohort, marital state and the mask of her years lived.
+    """One row per woman: cohort, marital state and the mask of her first 64 years lived.
 
     A year k years after the year of birth falls into the age group (lo, hi] exactly if
     lo < k <= hi, whatever the day of birth, so age groups are bit ranges. The fertile ages
     end well below the 64 bits.
     """
-    year = F.year("StartDate")
-    k, born = year - F.year("DoB"), _born(year)
-    masks = {
-        "SeenMask": F.bit_or(F.when(born & (k < BITS), _shifted(k))),
-        # of the years beyond the bits it matters only whether one was lived
-        "FirstLate": F.min(F.when(born & (k >= BITS), k)),
-    }
-    # the date of death may stand on some of a woman's rows only: years are cut at it after the fold
-    died = F.coalesce(F.year("DoD") - F.year("DoB"), F.lit(fv.LAST_YEAR))
-    folded = _women_folded(episodes, masks).withColumn("Died", died)
-    seen_alive = F.coalesce(F.col("SeenMask"), F.lit(0).cast("long")).bitwiseAND(_upto(F.col("Died")))
-    women = folded.withColumn("SeenMask", seen_alive)
-    highest = F.when(F.col("FirstLate") <= F.col("Died"), F.lit(BITS)).when(
-        F.col("SeenMask") != 0, F.length(F.bin("SeenMask")) - 1
-    )
-    women = women.withColumn("Newest", highest)
-    seen, filled = F.col("SeenMask"), _upto(F.least(F.col("Newest"), F.lit(y1) - F.year("DoB")))
-    mask = F.when(F.col("Full"), seen.bitwiseOR(filled)).otherwise(seen)
-    return women.filter(F.col("Newest").isNotNull()).select(
+    return lived_masks(episodes, y1=y1).select(
         "IndividualId",
         "Full",
         cohort(F.col("DoB"), "left").alias("Generation"),
         F.when(F.col("Full"), F.col("EverMarried")).alias("EverMarried"),
-        mask.alias("Mask"),
+        F.col("Low").alias("Mask"),
     )
 
 
@@ -260,12 +275,23 @@ def lexis_cells(
     band: tuple[int, int] = (2000, 19),
 ) -> DataFrame:
     """Person-years per cohort, period cell and age cell of the Lexis grid; ``band`` marks observed years."""
-    years = with_age_and_cohort(person_years(episodes))
-    inside = years.filter(
-        (F.col("Generation") != fv.OTHER_COHORT)
-        & (F.col("Year") >= first_year) & (F.col("Year") < last_year)
-        & (F.col("Age") >= 0) & (F.col("Age") < last_age)
+    women = lived_masks(episodes).select(
+        cohort(F.col("DoB"), "left").alias("Generation"), F.year("DoB").alias("_born"),
+        (F.dayofyear("DoB") == 1).alias("_first_day"), "Low", "High",
     )
+    # a year's cells depend on the year of birth and on k alone: years are counted per bit before they are cells,
+    # in one row per cohort and year of birth
+    bits = [F.sum(_has_bit(F.lit(k))).alias(f"_{k}") for k in range(last_age + 1)]
+    counts = women.filter(F.col("Generation") != fv.OTHER_COHORT).groupBy("Generation", "_born", "_first_day").agg(*bits)
+    cells = F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_{k}").alias("_n")) for k in range(last_age + 1)]))
+    years = counts.select("Generation", "_born", "_first_day", cells).filter("_n > 0").select(
+        "Generation", "_n", (F.col("_born") + F.col("_k")).alias("Year"),
+        # the whole years of age when the year begins
+        F.when(F.col("_first_day"), F.col("_k")).otherwise(F.col("_k") - 1).alias("Age"),
+    )
+    inside = years.filter(
+        (F.col("Year") >= first_year) & (F.col("Year") < last_year) & (F.col("Age") >= 0) & (F.col("Age") < last_age)
+    )
     start, length = band
     period = F.lit(first_year) + F.floor((F.col("Year") - first_year) / width) * width
     return inside.groupBy(
@@ -273,8 +299,8 @@ def lexis_cells(
         period.cast("long").alias("Period"),
         (F.floor(F.col("Age") / width) * width).cast("long").alias("AgeCell"),
     ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((F.col("Year") >= start) & (F.col("Year") < start + length)).alias("n_in_band"),
+        F.sum("_n").alias("n"),
+        F.sum(F.when((F.col("Year") >= start) & (F.col("Year") < start + length), F.col("_n")).otherwise(0)).alias("n_in_band"),
     )
 
 
