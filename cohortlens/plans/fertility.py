@@ -121,18 +121,16 @@ def cohort_women(episodes: DataFrame) -> DataFrame:
     return women_only(episodes).filter(date_between(F.col("DoB"), *fv.ALL_COHORTS_WINDOW))
 
 
-def _born(year: Column) -> Column:
-    """The year starts at birth or later: it is after the year of the day before the birth."""
-    return year > F.year(F.date_sub("DoB", 1))
-
-
 def _women_folded(episodes: DataFrame, extras: dict[str, Column]) -> DataFrame:
     """Women of the cohorts' window, one row each, with whether they are in the full frame.
 
     Unlike the person frames this keeps women without education or known status and those
     born on a day the study cohorts leave out.
     """
-    folded = cohort_women(episodes).groupBy("IndividualId").agg(
+    # years since birth, unknown for a year that starts before it: that is no later than the year of the day before
+    year = F.year("StartDate")
+    rows = cohort_women(episodes).withColumn("_k", F.when(year > F.year(F.date_sub("DoB", 1)), year - F.year("DoB")))
+    folded = rows.groupBy("IndividualId").agg(
         *[a.alias(n) for n, a in {**base_aggregates(), **extras}.items()]
     )
     full = (
@@ -153,11 +151,10 @@ def lived_masks(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_
     years stay within y0..y1); other women the years they were observed in. Bitwise-or has a buffer of fixed
     size, whatever the number of her rows. An observation 128 years after birth or later is no year of a life.
     """
-    k = F.year("StartDate") - F.year("DoB")
-    seen = _born(F.year("StartDate"))
+    k = F.col("_k")
     masks = {
-        "SeenLow": F.bit_or(F.when(seen & (k < BITS), _shifted(k))),
-        "SeenHigh": F.bit_or(F.when(seen & (k >= BITS) & (k < 2 * BITS), _shifted(k - BITS))),
+        "SeenLow": F.bit_or(F.when(k < BITS, _shifted(k))),
+        "SeenHigh": F.bit_or(F.when((k >= BITS) & (k < 2 * BITS), _shifted(k))),
     }
     none = F.lit(0).cast("long")
     # the date of death may stand on some of a woman's rows only: years are cut at it after the fold
@@ -168,8 +165,10 @@ def lived_masks(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_
             "SeenLow": F.coalesce("SeenLow", none).bitwiseAND(_upto(F.col("Died"))),
             "SeenHigh": F.coalesce("SeenHigh", none).bitwiseAND(_upto(F.col("Died") - BITS)),
         }
-    ).filter((F.col("SeenLow") != 0) | (F.col("SeenHigh") != 0))
-    newest = F.when(F.col("SeenHigh") != 0, F.length(F.bin("SeenHigh")) + (BITS - 1)).otherwise(F.length(F.bin("SeenLow")) - 1)
+    )
+    newest = F.when(F.col("SeenHigh") != 0, F.length(F.bin("SeenHigh")) + (BITS - 1)).when(
+        F.col("SeenLow") != 0, F.length(F.bin("SeenLow")) - 1
+    )
     spans = alive.withColumns(
         {
             "Until": F.least(newest, F.lit(y1) - F.year("DoB")),
@@ -181,10 +180,12 @@ def lived_masks(episodes: DataFrame, y0: int = fv.FIRST_YEAR, y1: int = fv.LAST_
         before = F.bitwise_not(_upto(F.col("From") - (shift + 1)))
         return F.when(F.col("Full"), _upto(F.col("Until") - shift).bitwiseAND(before)).otherwise(none)
 
-    return spans.select(
+    # the generator makes plain columns of the formulas, so that later conditions don't repeat them
+    columns = F.struct(
         "IndividualId", "DoB", "Full", "EverMarried",
         F.col("SeenLow").bitwiseOR(filled(0)).alias("Low"), F.col("SeenHigh").bitwiseOR(filled(BITS)).alias("High"),
     )
+    return spans.select(F.inline(F.array(columns))).filter((F.col("Low") != 0) | (F.col("High") != 0))
 
 
 def _has_bit(k: Column) -> Column:
@@ -246,7 +247,7 @@ def _upto(k: Column) -> Column:
 
 
 def _shifted(k: Column) -> Column:
-    """1 shifted left by k as a 64-bit number."""
+    """1 shifted left by k (by what is left of whole 64s) as a 64-bit number."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
@@ -316,9 +317,8 @@ def asfr(
     of the full frame; years also for others, unless the marital state is asked for (it is
     known in the full frame only). A cell without births or without years has no rate.
     """
-    years = lived_mask(episodes).filter(F.col("Generation") != fv.OTHER_COHORT)
-    if by:
-        years = years.filter(F.col("Full"))
+    # the full frame holds no other cohort
+    years = lived_mask(episodes).filter(F.col("Full") if by else F.col("Generation") != fv.OTHER_COHORT)
     women = births_per_woman(pregnancies).withColumnRenamed("WomanId", "IndividualId")
     joined = years.join(women, "IndividualId", "inner" if require_pregnancy else "left")
     born = [F.when(F.col("Full"), F.col(f"B_{g}")).otherwise(0).alias(f"B_{g}") for g in fv.FERTILE_AGES]
