@@ -12,9 +12,12 @@ from cohortlens.plans import first_birth as B
 from cohortlens.plans import marriage as M
 from cohortlens.plans import persons as P
 from cohortlens.plans import profile as Pr
+from cohortlens.plans import validation as V
 from cohortlens.sources.derived import episodes, pregnancies
 from cohortlens.sources.tables import delivered_before
 
+from .sql_text import FAULTS
+
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
@@ -29,6 +32,27 @@ def recorded_deliveries(spark, sf):
     return delivered_before(pregnancies(spark, sf), "2010-01-01")
 
 
+def validate_episodes(spark, sf):
+    """What breaks the contract in episodes with faults."""
+    rows = episodes(spark, sf).select("IndividualId", "DoB", "DoD", "Sex", "Episode", "StartDate", "EndDate")
+    faulty = rows.selectExpr(*[f"{FAULTS.get(c, c)} AS {c}" for c in rows.columns])
+    return V.episode_violations(faulty)
+
+
+def validate_clean(spark, sf):
+    """The episodes that the other queries read keep the contract: no rows."""
+    return V.episode_violations(episodes(spark, sf))
+
+
+def union_age(spark, sf):
+    """Age at the first union of the women observed, by what tells it: seen single before, or there from the start."""
+    return rounded(E.union_age(episodes(spark, sf), pregnancies(spark, sf)), "UnionSeenAge", "UnionBeforeAge", "AgeAtUnion")
+
+
+def first_birth_age(spark, sf):
+    return rounded(E.first_births_of(pregnancies(spark, sf)), "AgeAnyFirstBirth", "AgeFirstBirth")
+
+
 def person_summary(spark, sf):
     """Every person of the cohorts with labels, whether followed or not."""
     people = P.person_summary(episodes(spark, sf)).select(
@@ -175,8 +199,8 @@ def anova_first_birth(spark, sf):
 
 
 def anova_first_birth_p(spark, sf):
-    """The tail probabilities of the fits by cohort (two degrees of freedom)."""
-    table = B.anova_first_birth(pregnancies(spark, sf), episodes(spark, sf)).filter("df_between = 2")
+    """The tail probabilities of all six fits."""
+    table = B.anova_first_birth(pregnancies(spark, sf), episodes(spark, sf))
     return rounded(table.select("Subset", "Term", "p", "mark"), "p")
 
 
@@ -238,6 +262,6 @@ QUERIES = {
         cumulative_fertility, cumulative_fertility_overall, births_never_married, teen_birth_share,
         first_birth_summary, first_birth_report, first_birth_medians, anova_first_birth, anova_first_birth_p,
         observed_before, matric_age, first_union, union_left_censored, life_events, event_order_table,
-        event_order_medians, cohort_profile, household_employment, education_names,
+        event_order_medians, cohort_profile, household_employment, education_names, validate_episodes, validate_clean, union_age, first_birth_age,
     )
 }

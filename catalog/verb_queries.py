@@ -222,12 +222,27 @@ def quantile_summary(spark, sf):
     priced = orders(spark, sf)
     counts = A.value_counts(priced, by, "o_totalprice")
     probs = {"median": 0.5, "q1": 0.25, "q3": 0.75}
-    summary = A.counted_summary(counts, by, "o_totalprice", probs, 500.0, 250000.0)
+    summary = A.counted_summary(counts, by, "o_totalprice", probs, 250000.0)
     return summary.select(
         "o_orderpriority", *[F.round(c, 2).alias(c.lower()) for c in ("median", "q1", "q3", "Mean", "sd")], "n"
     )
 
 
+def quantile_heavy(spark, sf):
+    """Quantiles of a heavy-tailed column (powers of the price) over the whole table."""
+    heavy = orders(spark, sf).select((F.col("o_totalprice") / 1000 * F.pow(F.col("o_totalprice") / 400000, 8)).alias("x"))
+    found = A.exact_quantiles(heavy, [], "x", {"q01": 0.01, "median": 0.5, "q99": 0.99})
+    return found.select(*[F.round(c, 9).alias(c) for c in ("q01", "median", "q99")])
+
+
+def asof_states(spark, sf):
+    """For each open order the day of the customer's latest finished order before it, if there is one."""
+    days = orders(spark, sf)
+    marks = days.filter("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", F.col("o_day").alias("opened"))
+    states = days.filter("o_orderstatus = 'F'").select("o_custkey", F.col("o_day").alias("closed"))
+    return J.asof_before(states, marks, "o_custkey", "closed", "opened", ["o_orderkey"])
+
+
 def pct_table(spark, sf):
     out = A.pct_table(orders(spark, sf), "o_orderstatus", "o_orderpriority")
     return out.withColumn("pct", F.round("pct", 6))
@@ -240,7 +255,7 @@ def pct_of(spark, sf):
 
 def anova_orders(spark, sf):
     table = A.anova_oneway(orders(spark, sf), "o_totalprice", "o_orderpriority", ["o_orderstatus"])
-    return table.select("o_orderstatus", "df_between", "df_within", F.round("f", 6).alias("f"))
+    return table.select("o_orderstatus", "df_between", "df_within", F.round("f", 6).alias("f"), F.round("p", 6).alias("p"))
 
 
 def pivot_counts(spark, sf):
@@ -341,6 +356,6 @@ QUERIES = {
         inner_join, parent_join, prior_state, count_by, count_pred, quantile_summary, pct_table, pct_of,
         anova_orders, pivot_counts, pivot_values, pivot_bool, pivot_longer, replicate_rows, expand_years,
         separate_unite, union_by_name, union_missing, stack_tables, zip_by_key, mask_cells, mutate_if_round,
-        select_range, drop_range, with_cols_rename, arrange_levels, fill_up_status, cumsum_all, left_join_split,
+        select_range, drop_range, with_cols_rename, arrange_levels, fill_up_status, cumsum_all, left_join_split, quantile_heavy, asof_states,
     )
 }

@@ -108,6 +108,13 @@ SQL = {
                round(quantile_cont(o_totalprice, 0.75), 2) AS q3, round(avg(o_totalprice), 2) AS mean,
                round(stddev_samp(o_totalprice), 2) AS sd, count(*) AS n
         FROM orders GROUP BY 1""",
+    "quantile_heavy": """
+        SELECT round(quantile_cont(x, 0.01), 9) AS q01, round(quantile_cont(x, 0.5), 9) AS median, round(quantile_cont(x, 0.99), 9) AS q99
+        FROM (SELECT o_totalprice / 1000 * pow(o_totalprice / 400000, 8) AS x FROM orders)""",
+    "asof_states": f"""
+        SELECT m.o_custkey, m.o_orderkey, m.o_day AS opened,
+               (SELECT max(s.o_day) FROM {ORDERS} s WHERE s.o_custkey = m.o_custkey AND s.o_orderstatus = 'F' AND s.o_day < m.o_day) AS closed
+        FROM {ORDERS} m WHERE m.o_orderstatus = 'O'""",
     "pct_table": """
         WITH c AS (SELECT coalesce(o_orderstatus, 'Overall') AS o_orderstatus, o_orderpriority, count(*) AS n,
                           grouping(o_orderpriority) AS total
@@ -121,9 +128,13 @@ SQL = {
     "anova_orders": """
         WITH m AS (SELECT o_orderstatus, o_totalprice AS y, avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS grand,
                           avg(o_totalprice) OVER (PARTITION BY o_orderstatus, o_orderpriority) AS mean, o_orderpriority AS g FROM orders)
+, fits AS (
         SELECT o_orderstatus, count(DISTINCT g) - 1 AS df_between, count(*) - count(DISTINCT g) AS df_within,
-               round((sum((mean - grand) ** 2) / (count(DISTINCT g) - 1)) / (sum((y - mean) ** 2) / (count(*) - count(DISTINCT g))), 6) AS f
-        FROM m GROUP BY 1""",
+               (sum((mean - grand) ** 2) / (count(DISTINCT g) - 1)) / (sum((y - mean) ** 2) / (count(*) - count(DISTINCT g))) AS f
+        FROM m GROUP BY 1)
+        -- four numerator degrees of freedom: five priorities
+        SELECT o_orderstatus, df_between, df_within, round(f, 6) AS f, round(pow(df_within / (df_within + 4 * f), df_within / 2)
+            * (1 + df_within / 2 * (4 * f / (df_within + 4 * f))), 6) AS p FROM fits""",
     "pivot_counts": "SELECT o_orderpriority, "
     + _status_columns("nullif(count(*) FILTER (WHERE o_orderstatus = '{s}'), 0)")
     + " FROM orders GROUP BY 1",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .skew import salted_join
+from .windows import fill_down
 
 
 def _keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -70,3 +71,21 @@ def latest_before(
     paired = salted_join(dates, marks.select(key, mark), [(key, key)], "inner", salts).filter(F.col(when) < F.col(mark))
     out = paired.groupBy(key, mark).agg(F.max(when).alias(when))
     return out if gap is None else out.filter(gap)
+
+
+def asof_before(
+    states: DataFrame, marks: DataFrame, key: str, when: str, mark: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """Every row of ``marks`` (any number per key) with ``when``, the latest state of its key strictly before ``mark``.
+
+    States and marks lie in one frame in the order of time, marks before states of the same moment, and the last
+    state is carried down; ``order`` names further columns of the marks that order a key's rows fully. A mark
+    without an earlier state, a mark without a time, and a mark without a key have null.
+    """
+    known = states.filter(F.col(key).isNotNull() & F.col(when).isNotNull()).select(key, when).distinct()
+    rows = marks.drop(when).withColumns({"_at": F.col(mark), "_state": F.lit(0)}).unionByName(
+        known.withColumns({"_at": F.col(when), "_state": F.lit(1)}), allowMissingColumns=True
+    )
+    carried = fill_down(rows, [key], ["_at", "_state", *order], [when])
+    usable = F.col(key).isNotNull() & F.col(mark).isNotNull()
+    return carried.filter("_state = 0").withColumn(when, F.when(usable, F.col(when))).drop("_at", "_state")

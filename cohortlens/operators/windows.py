@@ -119,6 +119,21 @@ def fill_up(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequen
     return _scan(df, by, order, local, edges, carried, {c: F.coalesce(f"_l_{c}", f"_n_{c}") for c in cols}, small)
 
 
+def fill_down(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], small: bool = False) -> DataFrame:
+    """Replace nulls by the previous non-null value of the group."""
+
+    def local(keys):
+        w = Window.partitionBy(*keys).orderBy(*_ascending(order)).rowsBetween(START, 0)
+        return {f"_l_{c}": F.last(c, ignorenulls=True).over(w) for c in cols}
+
+    def carried(keys):
+        earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(START, -1)
+        return {f"_p_{c}": F.last(f"_e_{c}", ignorenulls=True).over(earlier) for c in cols}
+
+    edges = {f"_e_{c}": _edge(F.max_by, c, order) for c in cols}
+    return _scan(df, by, order, local, edges, carried, {c: F.coalesce(f"_l_{c}", f"_p_{c}") for c in cols}, small)
+
+
 def fill_downup(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], small: bool = False) -> DataFrame:
     """Replace nulls by the previous non-null value of the group, or else by its first one."""
 

@@ -17,7 +17,6 @@ from .fertility import with_age_at_birth
 from .persons import analysis_persons, last_cohort_women
 
 AGES = {"Matric": "AgeMatric", "Birth": "AgeFirstBirth", "Union": "AgeAtUnion"}
-BIN = 1 / 64
 
 
 def _in_union(status: Column) -> Column:
@@ -167,6 +166,12 @@ def union_left_censored(episodes: DataFrame, pregnancies: DataFrame) -> DataFram
     )
 
 
+def union_age(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:
+    """Women with a known age at first union: seen from single, already there before other events, and the later of both."""
+    known = women_with_events(episodes, pregnancies).filter(F.col("AgeAtUnion").isNotNull())
+    return known.select("IndividualId", "UnionSeenAge", "UnionBeforeAge", "AgeAtUnion")
+
+
 def life_events(episodes: DataFrame, pregnancies: DataFrame) -> DataFrame:
     """One row per observed woman: ages at first birth, matric and first union (null: not seen)."""
     return women_with_events(episodes, pregnancies).select(
@@ -208,6 +213,6 @@ def event_order_medians(events: DataFrame) -> DataFrame:
     ages = {"MedianBirth": "AgeFirstBirth", "MedianUnion": "AgeAtUnion", "MedianMatric": "AgeMatric"}
     named = classed.select("Order", *[F.col(age).alias(name) for name, age in ages.items()])
     long = pivot_longer(named, list(ages), "Event", "value")
-    return exact_quantiles(long, ["Order", "Event"], "value", {"Median": 0.5}, BIN).withColumnRenamed(
+    return exact_quantiles(long, ["Order", "Event"], "value", {"Median": 0.5}, small=True).withColumnRenamed(
         "Median", "value"
     )

@@ -19,7 +19,8 @@ from .fertility import with_age_at_birth
 from .persons import analysis_persons, women_only
 
 AGE_LIMITS = (12, 25)  # fixed values: from (included), to (not included)
-BIN = 1 / 64  # ages: 832 bins between the limits
+# Ages between the limits are differences of days counted in fractions of years: few distinct values however many
+# births, so one window ranks a group's.
 CENTRE = 18.5
 
 
@@ -42,7 +43,7 @@ def first_birth_summary(pregnancies: DataFrame, episodes: DataFrame) -> DataFram
     """Median, quartiles, mean, sd as two-decimal text, n and IQR per education and cohort."""
     by = ["EduMaxLbl", "Generation"]
     counts = value_counts(first_births(pregnancies, episodes), by, "AgeAtBirth", F.col("_records"))
-    summary = counted_summary(counts, by, "AgeAtBirth", {"Median": 0.5, "Q1": 0.25, "Q3": 0.75}, BIN, CENTRE)
+    summary = counted_summary(counts, by, "AgeAtBirth", {"Median": 0.5, "Q1": 0.25, "Q3": 0.75}, CENTRE, small=True)
     # the distance of the rounded quartiles, not the rounded distance
     iqr = round_half_even(F.col("Q3"), 2) - round_half_even(F.col("Q1"), 2)
     return summary.select(
@@ -66,7 +67,7 @@ def first_birth_medians(pregnancies: DataFrame, episodes: DataFrame) -> DataFram
         "Generation", F.explode(F.array(F.col("Generation"), F.lit("Overall")))
     )
     counts = value_counts(rows, ["Generation"], "AgeAtBirth", F.col("_records"))
-    return counted_quantiles(counts, ["Generation"], "AgeAtBirth", {"Median": 0.5}, BIN)
+    return counted_quantiles(counts, ["Generation"], "AgeAtBirth", {"Median": 0.5}, small=True)
 
 
 def anova_first_birth(pregnancies: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -75,8 +76,7 @@ def anova_first_birth(pregnancies: DataFrame, episodes: DataFrame) -> DataFrame:
     All six fits come from the moments of the twelve education x cohort cells.
     """
     births = first_births(pregnancies, episodes)
-    rows = births.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_records").cast("int"))))
-    cells = cell_moments(rows, ["EduMaxLbl", "Generation"], "AgeAtBirth")
+    cells = cell_moments(births, ["EduMaxLbl", "Generation"], "AgeAtBirth", "_records", CENTRE)
     fits = F.inline(
         F.array(
             F.struct(F.col("EduMaxLbl").alias("Subset"), F.lit("Generation").alias("Term"), F.col("Generation").alias("Level")),

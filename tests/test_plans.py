@@ -36,7 +36,7 @@ def test_each_table_is_read_once(spark, name):
     assert plan(spark, name).count("FileScan") == 2
 
 
-STUDY = [n for n in QUERIES if n not in entry_points.verb_queries.QUERIES]
+STUDY = list(entry_points.study_queries.QUERIES)
 
 
 @pytest.mark.parametrize("name", STUDY)
@@ -44,8 +44,7 @@ def test_no_python_no_cross_join_no_row_windows(spark, name):
     text = plan(spark, name)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "FlatMapGroups", "MapInPandas"):
         assert bad not in text
-    if not name.startswith("anova"):
-        assert "ArrowEvalPython" not in text
+    assert "ArrowEvalPython" not in text
     # windows only run over aggregated cells, never over the rows of a person
     assert not re.search(r"Window .*partitionBy.*IndividualId|windowspecdefinition\(IndividualId", text)
 

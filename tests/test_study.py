@@ -12,6 +12,7 @@ from cohortlens.plans import first_birth as B
 from cohortlens.plans import marriage as M
 from cohortlens.plans import persons as P
 from cohortlens.plans import profile as Pr
+from cohortlens.plans import validation as V
 from cohortlens.sources import derived
 
 SF = "/root/testdata/sf0.001"
@@ -489,3 +490,26 @@ def test_union_starts_of_a_person_with_many_episodes_are_no_more_than_their_days
     [got] = E.women_with_events(e, tiny.pregnancies(spark, dict(WomanId=1, MotherDoB="1986-01-01"))).collect()
     assert max(len(v) for v in got if isinstance(v, list)) <= len(days)
     assert {(x.Episode, str(x.StartDate)) for x in got.UnionStarts} == {(2, days[0]), (2, days[1]), (3, days[2])}
+
+
+def test_violations(spark, rows):
+    day = dt.date
+    data = [
+        (1, day(1970, 1, 1), None, 2, 1, day(2001, 1, 1), day(2002, 1, 1)),
+        (1, day(1970, 1, 1), day(2010, 1, 1), 2, 2, day(2003, 1, 1), day(2004, 1, 1)),  # a known death on some rows only
+        (2, day(1970, 1, 1), day(2010, 1, 1), 2, 1, day(2011, 1, 1), day(2010, 1, 1)),
+        (2, day(1970, 1, 2), day(2010, 1, 2), 1, 1, day(2001, 1, 1), day(2002, 1, 1)),
+        (2, None, None, None, 1, day(2001, 1, 1), day(2002, 1, 1)),
+        (2, day(2005, 1, 1), None, 1, None, day(2001, 1, 1), None),
+        (None, None, None, None, None, None, None),
+    ]
+    names = "IndividualId int, DoB date, DoD date, Sex int, Episode long, StartDate date, EndDate date"
+    df = spark.createDataFrame(data, names)
+    assert rows(V.episode_violations(df)) == [
+        (2, "ends before start", 1), (2, "repeated Episode", 2), (2, "several DoB", 1), (2, "several DoD", 1), (2, "several Sex", 2),
+        (2, "starts after DoD", 1), (2, "starts before DoB", 1), (2, "unknown DoB", 1), (None, "unknown person", 1),
+    ]
+    assert V.episode_violations(df.limit(0)).count() == 0
+    assert V.assert_valid(df.filter("IndividualId = 1")).count() == 2
+    with pytest.raises(Exception, match="violations of the contract"):
+        V.assert_valid(df).collect()

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from cohortlens.operators import aggregates as A
 from cohortlens.operators import columns as C
 from cohortlens.operators import joins as J
 from cohortlens.operators import reshape as R
+from cohortlens.operators import skew as K
 from cohortlens.operators import windows as W
 
 
@@ -105,28 +107,35 @@ def test_pct_table(spark, rows):
 PROBS = {"q1": 0.25, "med": 0.5, "q3": 0.75, "top": 1.0, "low": 0.0, "odd": 0.137}
 
 
-@pytest.mark.parametrize("width", [0.01, 1.0, 1000.0])
-def test_exact_quantiles(spark, rows, width):
+def quantile_data(spark):
     rng = np.random.default_rng(1)
     data = [("n", float(v)) for v in rng.normal(20, 3, 501)] + [("t", float(v)) for v in rng.integers(0, 5, 400)]
+    data += [("heavy", float(v)) for v in 10.0 ** rng.uniform(-200, 200, 600)]
     data += [("one", 4.0), (None, 1.0), (None, 2.0), ("n", None)]
-    df = spark.createDataFrame(data, "g string, x double")
-    got = {r["g"]: r for r in A.exact_quantiles(df, ["g"], "x", PROBS, width).collect()}
-    for g in ("n", "t", "one", None):
+    return data, spark.createDataFrame(data, "g string, x double")
+
+
+@pytest.mark.parametrize("run_rows", [1, 20, 10_000])
+@pytest.mark.parametrize("small", [False, True])
+def test_exact_quantiles(spark, monkeypatch, run_rows, small):
+    monkeypatch.setattr(K, "RUN_ROWS", run_rows)
+    data, df = quantile_data(spark)
+    got = {r["g"]: r for r in A.exact_quantiles(df, ["g"], "x", PROBS, small).collect()}
+    for g in ("n", "t", "heavy", "one", None):
         values = [v for k, v in data if k == g and v is not None]
         for name, p in PROBS.items():
-            assert got[g][name] == pytest.approx(np.quantile(values, p), abs=1e-9)
-    assert A.exact_quantiles(df.filter("x < 0"), ["g"], "x", PROBS, width).count() == 0
+            assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-300)
+    assert A.exact_quantiles(df.filter("x < 0"), ["g"], "x", PROBS, small).count() == 0
 
 
 def test_quantile_example(spark, rows):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.5,), (9.0,)], "x double")
-    assert rows(A.exact_quantiles(df, [], "x", {"a": 0.25, "b": 0.5, "c": 0.75}, 0.5)) == [(1.75, 2.75, 4.875)]
+    assert rows(A.exact_quantiles(df, [], "x", {"a": 0.25, "b": 0.5, "c": 0.75})) == [(1.75, 2.75, 4.875)]
 
 
 def test_summary_moments(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", 5.0)], "g string, x double")
-    got = rows(A.counted_summary(A.value_counts(df, ["g"], "x"), ["g"], "x", {"m": 0.5}, 1.0, 2.0))
+    got = rows(A.counted_summary(A.value_counts(df, ["g"], "x"), ["g"], "x", {"m": 0.5}, 2.0))
     assert got == [("a", 2.0, 3, pytest.approx(5 / 3), pytest.approx(np.std([1, 2, 2], ddof=1))), ("b", 5.0, 1, 5.0, None)]
 
 
@@ -142,19 +151,52 @@ def test_anova(spark):
     assert r.mark == "**"
 
 
+def tail_by_quadrature(f, a, b):
+    """P(F > f) as an integral of the beta density over s, with t = x exp(-s^2)."""
+    x, p, q = b / (b + a * f), b / 2, a / 2
+    nodes, weights = np.polynomial.legendre.leggauss(4000)
+    top = math.sqrt(60 / p)
+    s, w = (nodes + 1) * top / 2, weights * top / 2
+    density = np.exp(-p * s * s) * (1 - x * np.exp(-s * s)) ** (q - 1) * 2 * s
+    return math.exp(math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) + p * math.log(x)) * float(density @ w)
+
+
 def test_f_tail(spark):
     # known points of the F distribution: its 5 % and 1 % critical values, and F(1, n) = t(n)^2
     points = [(4.0662, 3, 8, 0.05), (5.9525, 3, 12, 0.01), (4.9646, 1, 10, 0.05), (161.4476, 1, 1, 0.05)]
     df = spark.createDataFrame([p[:3] for p in points], "f double, a int, b int").coalesce(1)
     got = [r[0] for r in df.select(A.f_tail("f", "a", "b")).collect()]
     assert got == pytest.approx([p[3] for p in points], rel=2e-4)
-    # four numerator degrees of freedom have a closed form too
-    for f, b in [(2.76, 25), (0.8, 60)]:
-        x, h = b / (b + 4 * f), b / 2
-        assert A._incomplete_beta(h, 2.0, x) == pytest.approx(x**h * (1 + h * (1 - x)), rel=1e-9)
-    # the closed form for two degrees of freedom agrees with the general one, also for large samples
-    for f, b in [(0.5, 7), (3.0, 40), (2.2, 10**6)]:
-        assert A._incomplete_beta(b / 2, 1.0, b / (b + 2 * f)) == pytest.approx((b / (b + 2 * f)) ** (b / 2), rel=1e-6)
+    cases = [(f, a, b) for f in (0.01, 0.8, 2.5, 9.0, 40.0) for a in (1, 2, 3, 4, 5, 8, 11) for b in (1, 2, 3, 7, 40, 1001, 10**6)]
+    df = spark.createDataFrame(cases, "f double, a int, b int").coalesce(1)
+    got = [r[0] for r in df.select(A.f_tail("f", "a", "b")).collect()]
+    assert got == pytest.approx([tail_by_quadrature(*c) for c in cases], rel=1e-6, abs=1e-12)
+    edges = [(0.0, 3, 5), (None, 3, 5), (1.0, 0, 5), (1.0, 3, 0), (1e9, 3, 10**9)]
+    df = spark.createDataFrame(edges, "f double, a int, b int").coalesce(1)
+    assert [r[0] for r in df.select(A.f_tail("f", "a", "b")).collect()] == [1.0, None, None, None, 0.0]
+
+
+def test_weighted_moments(spark, rows):
+    data = [(g, float(v), 1 + i % 3) for g, vs in GROUPS.items() for i, v in enumerate(vs)] + [("a", 7.0, 0), ("a", None, 4)]
+    df = spark.createDataFrame(data, "g string, y double, w int")
+    copies = df.filter("y IS NOT NULL AND w > 0").withColumn("w", F.explode(F.sequence(F.lit(1), "w")))
+    plain = {r.g: r for r in A.cell_moments(copies, ["g"], "y").collect()}
+    for r in A.cell_moments(df, ["g"], "y", "w", centre=8.0).collect():
+        assert (r.n, r["mean"], r.ss) == (plain[r.g].n, pytest.approx(plain[r.g]["mean"]), pytest.approx(plain[r.g].ss))
+
+
+def test_asof_before(spark, rows):
+    states = spark.createDataFrame([(1, 5), (1, 5), (1, 9), (2, 3), (None, 1), (3, None)], "k int, s int")
+    marks = spark.createDataFrame(
+        [(1, 5, "a"), (1, 6, "b"), (1, 6, "b"), (1, 10, "c"), (2, 3, "d"), (2, 4, None), (None, 7, "e"), (3, 8, "f"), (1, None, "g"), (4, 1, "h")],
+        "k int, m int, t string",
+    )
+    got = {r: None for r in rows(J.asof_before(states, marks, "k", "s", "m", ["t"]).select("k", "m", "t", "s"))}
+    assert set(got) == {
+        (1, 5, "a", None), (1, 6, "b", 5), (1, 10, "c", 9), (2, 3, "d", None), (2, 4, None, 3), (None, 7, "e", None),
+        (3, 8, "f", None), (1, None, "g", None), (4, 1, "h", None),
+    }
+    assert J.asof_before(states.limit(0), marks, "k", "s", "m", ["t"]).filter("s IS NOT NULL").count() == 0
 
 
 def test_merge_cells(spark):
