@@ -192,10 +192,6 @@ def _sum_of_terms(first: int | Column, last: Column, ratio: Callable[[Column], C
     return end["s"], end["f"]
 
 
-#: Terms of a series at most (none of the cases below needs as many).
-MOST_TERMS = 100_000
-
-
 def _gamma_ratio(p: Column) -> Column:
     """Gamma(p + 1/2) / Gamma(p) for p > 0: the asymptotic series 32 steps further on, and back."""
     z = p + 32
@@ -216,7 +212,8 @@ def f_tail(f: str, df_between: str, df_within: str) -> Column:
     # odd: the terms from (d1 - 1) / 2 on add up to P(F <= f)
     m = F.floor((d1 - 1) / 2)
     front = power * F.sqrt(y) * _gamma_ratio(p) / (math.sqrt(math.pi) / 2)
-    enough = F.least(m + 64 + F.ceil(4 * p * y) + F.ceil(40 / x), F.lit(MOST_TERMS))
+    # a tail of any size has p y under a thousand here; for x below 1/2 only the term that the other series begins with
+    enough = F.when(x < 0.5, m + 1).otherwise(m + 144 + F.ceil(4 * p * y))
     below, term = _sum_of_terms(m, enough, lambda n: y * (p + 0.5 + n) / (n + 1.5))
     near = F.greatest(1 - front * below, F.lit(0.0))
     far = front * term * (q / p) * _sum_of_terms(0, F.lit(200), lambda n: x * (p + q + n) / (p + 1 + n))[0]

@@ -79,7 +79,7 @@ def order_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], cuts: int
     rows; most groups have none. The cuts depend on the rows alone, so a task that is run again, or a
     second look at the table, finds the same ones.
     """
-    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    rows = F.greatest(df.agg(F.count(F.lit(1)).cast("double")).scalar(), F.lit(1.0))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(7), *by, *order), 11).cast("double") * F.lit(2.0**-53)
     drawn = df.select(*by, *order).filter(unit < F.least(F.lit(float(cuts)) / rows, F.lit(1.0 / RUN_ROWS)))
     return drawn.distinct().select(*by, sortable(order).alias("_cut")).limit(2 * cuts)
