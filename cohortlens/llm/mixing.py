@@ -9,7 +9,8 @@ from .common import PARTS, fresh, row_hash, running, unit_interval, without
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_WORDS = 64
+#: Words of a block, and the blocks that a small source's target is at least made of: its blocks are shorter.
+BLOCK_WORDS, LEAST_BLOCKS = 64, 16
 #: Binary digits of a slot.
 DIGITS = 63
 MOST_REPEATS = 3
@@ -55,13 +56,17 @@ def targets(sizes: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
 
 
 def draws(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST_REPEATS) -> DataFrame:
-    """Add to the sources ``blocks``, ``drawn`` (blocks to draw) and ``start`` (drawn for sources before).
+    """Add to the sources ``words`` (of a block), ``blocks``, ``drawn`` (blocks to draw) and ``start`` (drawn for sources before).
 
-    A source's word line is cut into blocks of ``block_words`` words, the last one shorter. Whole
-    passes over the line and the blocks nearest to the rest of the target are drawn.
+    A source's word line is cut into equal blocks, the last one shorter: of ``block_words`` words, or of a
+    LEAST_BLOCKS-th of its target where that is less, one word at least. Whole passes over the line and the blocks nearest
+    to the rest of the target are drawn.
     """
-    size, t = F.col("source_size"), F.lit(block_words)
-    blocks = F.expr(f"(source_size + {block_words - 1}) div {block_words}")
+    sources = sources.withColumn(
+        "words", F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("target") / LEAST_BLOCKS))).cast("long")
+    )
+    size, t = F.col("source_size"), F.col("words")
+    blocks = F.expr("(source_size + words - 1) div words")
     passes = F.floor(F.col("target") / size)
     rest = F.round((F.col("target") - passes * size) / t).cast("long")
     counted = sources.withColumn("blocks", blocks).withColumn(
@@ -85,7 +90,7 @@ def source_lines(docs: DataFrame, size: str, group: str, h: str, first: str, tot
     return lined.withColumn(first, F.col(upto) - F.col(size)).drop(upto)
 
 
-def schedule(lines: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS, parts: int = PARTS) -> DataFrame:
+def schedule(lines: DataFrame, parts: int = PARTS) -> DataFrame:
     """The mix as slots: ``key``, ``slot`` (order in the mix), ``block`` (drawn there) and ``pass``.
 
     The points of van der Corput's sequence, mapped through the cumulative draws of the sources, say
@@ -94,12 +99,12 @@ def schedule(lines: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORD
     of 1/2 once, so the points of a source are the multiples in its stretch of the cumulative draws,
     and the slot of such a point is its number with the binary digits mirrored. Blocks
     come from the rows in which they begin, and draw x of a source is its block x mod blocks, so
-    points are enumerated where the documents lie. ``lines`` has ``key``, ``first`` and ``size``.
+    points are enumerated where the documents lie. ``lines`` has ``key``, ``first``, ``size`` and its source's :func:`draws`.
     """
-    begins, ends = f"(first + {block_words - 1}) div {block_words}", f"(first + size + {block_words - 1}) div {block_words}"
-    begun = lines.filter(f"{begins} < {ends}").selectExpr("key", f"explode(sequence({begins}, {ends} - 1, 1L)) as at")
+    begins, ends = "(first + words - 1) div words", "(first + size + words - 1) div words"
+    begun = lines.filter(f"{begins} < {ends}")
     points = (
-        begun.join(sources.select("key", "blocks", "drawn", "start"), "key")
+        begun.selectExpr("key", "blocks", "drawn", "start", f"explode(sequence({begins}, {ends} - 1, 1L)) as at")
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))))
         .withColumn("x", F.col("turn") * F.col("blocks") + F.col("at"))
         .filter("x < drawn")
@@ -119,7 +124,7 @@ def mix(
     Targets come from :func:`targets`, the mix from :func:`schedule`: equal blocks of shuffled words
     of a source fill the slots that the low-discrepancy sequence gives it. A row's ``taken`` adds up
     what the drawn blocks hold of it, a block drawn twice counting twice. A source's sum lies within
-    one block of its target, and no row is taken more than three times.
+    one block of its target (a word or a sixteenth of it where it is small), and no row is taken more than three times.
 
     Shuffling and laying out go by parts of a source (:func:`common.running`), blocks and slots are
     joined by source and block, so no source meets in one task.
@@ -141,12 +146,12 @@ def mix(
     lines = source_lines(slim, "size", "key", "h", "first", "source_size", parts).select("key", "first", "size")
     sizes = slim.groupBy("key").agg(F.sum("size").alias("source_size"))
     sources = draws(targets(sizes), block_words)
-    visits = schedule(lines, sources, block_words, parts).groupBy("key", "block").agg(F.count(F.lit(1)).alias("visits"))
+    lines = lines.join(sources.select("key", "words", "blocks", "drawn", "start"), "key")
+    visits = schedule(lines, parts).groupBy("key", "block").agg(F.count(F.lit(1)).alias("visits"))
     pieces = lines.filter("size > 0").selectExpr(
-        "key", "first", "size",
-        f"explode(sequence(first div {block_words}, (first + size - 1) div {block_words}, 1L)) as block",
-    )
-    shared = F.expr(f"least(first + size, (block + 1) * {block_words}) - greatest(first, block * {block_words})")
+        "key", "first", "size", "words", "explode(sequence(first div words, (first + size - 1) div words, 1L)) as block"
+    )
+    shared = F.expr("least(first + size, (block + 1) * words) - greatest(first, block * words)")
     taken = (
         pieces.join(visits, ["key", "block"])
         .groupBy("key", "first")
