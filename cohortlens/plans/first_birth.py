@@ -44,6 +44,8 @@ def first_birth_summary(pregnancies: DataFrame, episodes: DataFrame) -> DataFram
     by = ["EduMaxLbl", "Generation"]
     counts = value_counts(first_births(pregnancies, episodes), by, "AgeAtBirth", F.col("_records"))
     summary = counted_summary(counts, by, "AgeAtBirth", {"Median": 0.5, "Q1": 0.25, "Q3": 0.75}, CENTRE, small=True)
+    # the generator makes plain columns of the statistics, so that the texts below don't repeat their formulas
+    summary = summary.select(F.inline(F.array(F.struct(*summary.columns))))
     # the distance of the rounded quartiles, not the rounded distance
     iqr = round_half_even(F.col("Q3"), 2) - round_half_even(F.col("Q1"), 2)
     return summary.select(
