@@ -186,3 +186,13 @@ def significance_mark(p: Column) -> Column:
     for limit, mark in fv.SIGNIFICANCE:
         chain = chain.when(p < limit, mark)
     return chain.otherwise("")
+
+
+def level_code(label: Column, levels: Sequence[str]) -> Column:
+    """Place of a label in its levels, from 1; a number folds without sorting rows, unlike a text. Null for other labels."""
+    return F.nullif(F.array_position(F.array(*[F.lit(x) for x in levels]), label).cast("int"), F.lit(0))
+
+
+def level_label(code: Column, levels: Sequence[str]) -> Column:
+    """The label of a :func:`level_code`."""
+    return F.get(F.array(*[F.lit(x) for x in levels]), code - 1)

@@ -27,13 +27,7 @@ def event_aggregates() -> dict[str, Column]:
     status, start, seen = F.col("MaritalStatus"), F.col("StartDate"), F.col("EducationObsDate")
     union = _in_union(status)
     young = age_at(seen, F.col("DoB")) < fv.LIFE_EVENT_AGE
-    # first row with a known status; its number is that of all rows looked at
-    first_status = F.struct(
-        F.col("Episode").alias("Episode"),
-        (~union).alias("single"),
-        (-F.unix_date(start)).alias("back"),
-        start.alias("StartDate"),
-    )
+    known = status.isNotNull()
     return {
         "FirstSeen": F.min("StartDate"),
         "Matric12": F.min(F.when((F.col("Education") == fv.MATRIC_GRADE) & young, seen)),
@@ -41,7 +35,8 @@ def event_aggregates() -> dict[str, Column]:
         "UnionDate": F.min(F.when(union, start)),
         # distinct days of one woman's life as single: bounded by the days under observation
         "SingleDays": F.collect_set(F.when(status == fv.SINGLE, start)),
-        "FirstStatus": F.min(F.when(status.isNotNull(), first_status)),
+        # number of the first row with a known status; an unknown number is the lowest
+        "FirstStatusEpisode": F.when(~F.bool_or(known & F.col("Episode").isNull()), F.min(F.when(known, F.col("Episode")))),
     }
 
 
@@ -125,7 +120,7 @@ def first_births_of(pregnancies: DataFrame) -> DataFrame:
 
 def with_union_before(women: DataFrame) -> DataFrame:
     """Age and date of a union already there in the first known status, before birth and matric."""
-    tied = F.filter("UnionStarts", lambda x: x["Episode"].eqNullSafe(F.col("FirstStatus.Episode")))
+    tied = F.filter("UnionStarts", lambda x: x["Episode"].eqNullSafe(F.col("FirstStatusEpisode")))
     # of two dates in one life the earlier is the one at the lower age; of the rows that pass the latest counts
     passing = F.filter(
         F.transform(tied, lambda x: x["StartDate"]),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import age_at, date_between, if_else, none_if_zero, percent, round_half_even, safe_divide
+from ..functions.scalars import age_at, date_between, if_else, level_code, level_label, none_if_zero, percent, round_half_even, safe_divide
 from ..operators.skew import salted_join
 from ..operators.windows import ref_value, share_within
 from .persons import analysis_persons
@@ -62,7 +62,7 @@ def fold_families(rows: DataFrame) -> DataFrame:
     folded = rows.groupBy("key").agg(
         F.max("is_parent").alias("is_parent"),
         F.max("ParentFlag").alias("ParentFlag"),
-        F.max("EduMaxLbl").alias("EduMaxLbl"),
+        level_label(F.max("EduCode"), fv.EDUCATION_LEVELS).alias("EduMaxLbl"),
         F.count_if(F.col("ChildFlag") == 1).alias("yes"),
         F.count_if(F.col("ChildFlag") == 0).alias("no"),
     )
@@ -72,12 +72,12 @@ def fold_families(rows: DataFrame) -> DataFrame:
 def persons_as_family_rows(persons: DataFrame, flag: str, is_parent: Column, is_child: Column) -> DataFrame:
     """Both roles of each person from a single pass over ``persons``."""
     role = F.when(is_parent, F.struct(
-        F.col("IndividualId").alias("key"), F.col(flag).alias("ParentFlag"), F.col("EduMaxLbl").alias("EduMaxLbl"),
-        F.lit(1).alias("is_parent"), F.lit(None).cast("int").alias("ChildFlag"),
+        F.col("IndividualId").alias("key"), F.col(flag).alias("ParentFlag"),
+        level_code(F.col("EduMaxLbl"), fv.EDUCATION_LEVELS).alias("EduCode"), F.lit(1).alias("is_parent"), F.lit(None).cast("int").alias("ChildFlag"),
     ))
     child = F.when(is_child & F.col("MotherId").isNotNull(), F.struct(
         F.col("MotherId").alias("key"), F.lit(None).cast("int").alias("ParentFlag"),
-        F.lit(None).cast("string").alias("EduMaxLbl"), F.lit(0).alias("is_parent"), F.col(flag).alias("ChildFlag"),
+        F.lit(None).cast("int").alias("EduCode"), F.lit(0).alias("is_parent"), F.col(flag).alias("ChildFlag"),
     ))
     return persons.select(F.explode(F.array_compact(F.array(role, child))).alias("r")).select("r.*")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.scalars import in_study_cohort, percent, recode
+from ..functions.scalars import in_study_cohort, level_code, level_label, percent, recode
 from ..operators.aggregates import count_by
 from .persons import analysis_persons, ever_married, finish_persons, first_known
 
@@ -122,10 +124,13 @@ def household_employment(episodes: DataFrame) -> DataFrame:
         .agg(F.min("CurrentlyEmployed").alias("CurrentlyEmployed"))
     )
     followed = analysis_persons(episodes).select("IndividualId", "Generation")
-    pick = F.min(F.struct("CurrentlyEmployed", "IndividualId", "Generation"))
-    homes = best.join(followed, "IndividualId").groupBy("HouseholdId", "Year").agg(pick.alias("head"))
-    label = F.coalesce(recode(F.col("head.CurrentlyEmployed"), fv.EMPLOYMENT_LABELS), F.lit(fv.UNEMPLOYED_LABEL))
-    return count_by(
-        homes.select(label.alias("CurrentlyEmployed"), F.col("head.Generation").alias("Generation")),
-        "CurrentlyEmployed", "Generation",
-    )
+    cohorts = [*fv.COHORT_LEVELS, fv.OTHER_COHORT]
+    # the key of the best employment, then of the lowest person, as one number of fixed size: no row is sorted
+    place = F.col("CurrentlyEmployed").cast("decimal(38,0)") * F.lit(Decimal(10) ** 20) + F.col("IndividualId")
+    homes = best.join(followed, "IndividualId").groupBy("HouseholdId", "Year").agg(
+        F.min("CurrentlyEmployed").alias("Employed"),
+        F.min_by(level_code(F.col("Generation"), cohorts), place).alias("Cohort"),
+    )
+    label = F.coalesce(recode(F.col("Employed"), fv.EMPLOYMENT_LABELS), F.lit(fv.UNEMPLOYED_LABEL))
+    cohort = level_label(F.col("Cohort"), cohorts)
+    return count_by(homes.select(label.alias("CurrentlyEmployed"), cohort.alias("Generation")), "CurrentlyEmployed", "Generation")

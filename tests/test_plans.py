@@ -66,3 +66,8 @@ def test_generated_methods_can_be_compiled(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(executed)
     assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)) < 8000
+
+
+@pytest.mark.parametrize("name", STUDY)
+def test_no_rows_are_sorted_to_be_folded(spark, name):
+    assert "SortAggregate" not in plan(spark, name)
