@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,39 @@ QUERY_BLOCK = 32_768
 TILE_ROWS, TILE_QUERIES = 4096, 512
 #: Partial lists of a query are merged so many at a time, then those results.
 FAN = 64
-#: Sums of products below this are exact in single precision, and in double precision.
-SINGLE, DOUBLE = 2.0**24, 2.0**53
+#: Sums of products below these are exact in single precision, in double precision, and in whole numbers of 64 bits.
+SINGLE, DOUBLE, LONG = 2.0**24, 2.0**53, 2.0**62
 
 
-def whole_numbers(vector: str, scale: int = SCALE):
-    """A vector's components as floor(scale * x); null where the vector takes no part."""
-    numbers = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(x.cast("double") * scale))
+def finite(vector: str):
+    """A vector's components as doubles; null where the vector takes no part."""
+    x, numbers = F.col(f"`{vector}`"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
     # nothing that is not finite is below
-    wide = F.forall(F.col(f"`{vector}`"), lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**40))
-    return F.when(F.coalesce(wide, F.lit(False)) & (F.size(F.col(f"`{vector}`")) > 0), numbers)
+    usable = F.forall(numbers, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return F.when(F.coalesce(usable, F.lit(False)) & (F.size(x) > 0), numbers)
 
 
-def products(queries: np.ndarray, rows: np.ndarray, top: float, exact: np.ndarray | None = None) -> np.ndarray:
-    """Inner products as whole numbers; ``top`` bounds their size."""
+def whole_numbers(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """Components as floor(scale * x): longs, or Python's whole numbers if one of them is too wide for a long."""
+    if float(np.abs(vectors).max(initial=0)) < LONG / scale:
+        return np.floor(vectors * scale).astype(np.int64)
+    # a double of 2^53 or more is a whole number, and scale * x may be beyond the doubles
+    exact = [int(x) * scale if abs(x) >= DOUBLE else math.floor(x * scale) for x in vectors.ravel().tolist()]
+    out = np.empty(len(exact), object)
+    out[:] = exact
+    return out.reshape(vectors.shape)
+
+
+def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers, exactly: longs, or Python's whole numbers where a product may not fit a long."""
+    top = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * rows.shape[1]
     if top < SINGLE:
         return (queries.astype(np.float32) @ rows.astype(np.float32).T).astype(np.int64)
     if top < DOUBLE:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    limit = np.iinfo(np.int64).max
-    wide = queries.astype(object) @ rows.astype(object).T
-    return np.clip(wide, 1 - limit, limit).astype(np.int64)
+    if top < LONG:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    return queries.astype(object) @ rows.astype(object).T
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,30 +76,35 @@ NONE = -np.iinfo(np.int64).max
 NO_ID = np.iinfo(np.int64).max
 
 
+def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores side by side. Among wide ones no row's score is below all numbers."""
+    if a.dtype != b.dtype:
+        a, b = (np.where(x == NONE, -math.inf, x.astype(object)) if x.dtype != object else x for x in (a, b))
+    return np.concatenate([a, b], 1)
+
+
 class Lists:
-    """The best rows so far for each query of a block."""
+    """The best rows so far for each query of a block, by tiles of queries."""
 
     def __init__(self, queries: np.ndarray, own: np.ndarray, k: int):
         self.queries, self.own, self.k = queries, own, k
-        self.scores = np.full((len(own), k), NONE)
+        self.parts = [slice(low, low + TILE_QUERIES) for low in range(0, len(own), TILE_QUERIES)]
         self.ids = np.full((len(own), k), NO_ID)
-        self.largest = float(np.abs(queries).max(initial=0))
+        self.scores = [np.full((len(own[part]), k), NONE) for part in self.parts]
 
     def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        top = self.largest * float(np.abs(rows).max(initial=0)) * rows.shape[1]
-        for low in range(0, len(self.own), TILE_QUERIES):
-            part = slice(low, low + TILE_QUERIES)
-            scores = products(self.queries[part], rows, top)
+        for i, part in enumerate(self.parts):
+            scores = products(self.queries[part], rows)
             wide = np.broadcast_to(ids, scores.shape)
             own = wide == self.own[part][:, None]
-            scores[own] = NONE
+            scores[own] = NONE if scores.dtype != object else -math.inf
             found, found_ids = best(scores, np.where(own, NO_ID, wide), self.k)
-            both = np.concatenate([self.scores[part], found], 1), np.concatenate([self.ids[part], found_ids], 1)
-            self.scores[part], self.ids[part] = best(*both, self.k)
+            both = together(self.scores[i], found), np.concatenate([self.ids[part], found_ids], 1)
+            self.scores[i], self.ids[part] = best(*both, self.k)
 
 
 def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Vectors of one length at a time: length, ids, matrix of at most TILE_ROWS rows."""
+    """Vectors of one length at a time: length, ids, whole numbers of at most TILE_ROWS rows."""
     lengths = np.diff(np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset : vectors.offset + len(vectors) + 1])
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     starts, ids = np.concatenate([[0], np.cumsum(lengths)[:-1]]), ids.to_numpy(zero_copy_only=False)
@@ -94,7 +112,7 @@ def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarra
         chosen = np.flatnonzero(lengths == n)
         for low in range(0, len(chosen), TILE_ROWS):
             some = chosen[low : low + TILE_ROWS]
-            yield n, ids[some], flat[starts[some][:, None] + np.arange(n)]
+            yield n, ids[some], whole_numbers(flat[starts[some][:, None] + np.arange(n)])
 
 
 def top_k(
@@ -103,14 +121,14 @@ def top_k(
 ) -> DataFrame:
     """For each query the ``k`` rows of the highest integer inner product: query_id, rank, key, score.
 
-    Components count as floor(64 x). Queries go to the tasks in blocks of ``query_block``; each task
+    Components count as floor(64 x), whatever their size; rows stand in the order of their exact scores. A score
+    beyond a long is given as the largest or smallest long. Queries go to the tasks in blocks of ``query_block``; each task
     multiplies tiles of its rows with tiles of queries, keeps the best of each tile and merges them
     into its lists. The lists of the tasks are merged FAN at a time and then once more. Nothing grows
     with the rows but the number of lists, one per task and query; a block of queries and its
     lists are all that a task holds.
 
-    Defined cases: vectors that are null or empty, or hold null, non-finite or huge (2^40 and more)
-    components, take no part, and neither do rows with a null key; a query meets only vectors of its
+    Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part, and neither do rows with a null key; a query meets only vectors of its
     own length; ties go to the smaller key; a row with the query's key is the query's own and no
     candidate; other repeated rows are candidates each; queries with one key and different vectors
     are answered for the one that sorts first. Fewer than ``k`` candidates give fewer rows; an
@@ -121,22 +139,22 @@ def top_k(
 
     def gathered(lists: DataFrame, *by: str) -> DataFrame:
         """The lists of each group merged into one."""
-        all_of = [F.flatten(F.collect_list(c)).alias(c) for c in ("scores", "ids")]
+        all_of = [F.flatten(F.collect_list(c)).alias(c) for c in ("scores", "wide", "ids")]
         rest = [F.lit(0).alias(c) for c in ("part",) if c not in by]
-        return lists.groupBy(*by).agg(*rest, *all_of).select("id", "part", "scores", "ids").mapInArrow(merge, schema)
+        return lists.groupBy(*by).agg(*rest, *all_of).select("id", "part", "scores", "wide", "ids").mapInArrow(merge, schema)
 
-    usable = lambda df: df.select(F.col(f"`{key}`").cast("long").alias("id"), whole_numbers(vector).alias("v")).filter(
+    usable = lambda df: df.select(F.col(f"`{key}`").cast("long").alias("id"), finite(vector).alias("v")).filter(
         "id IS NOT NULL AND v IS NOT NULL"
     )
     asked, candidates = usable(queries).groupBy("id").agg(F.min("v").alias("v")), usable(rows)
-    schema = "id long, part int, scores array<long>, ids array<long>"
+    schema = "id long, part int, scores array<long>, wide array<string>, ids array<long>"
     name = fresh(["query_id", "rank", "score"], key)[0]
     out = None
     for block in _blocks(asked, query_block):
         sent_block = sent(spark, block)
 
         def search(batches: Iterator[pa.RecordBatch], sent_block=sent_block) -> Iterator[pa.RecordBatch]:
-            lists = {n: Lists(q, own, k) for n, (own, q) in received(sent_block).items()}
+            lists = {n: Lists(whole_numbers(q), own, k) for n, (own, q) in received(sent_block).items()}
             touched = set()
             for batch in batches:
                 for n, ids, matrix in _matrices(batch.column(0), batch.column(1)):
@@ -145,7 +163,9 @@ def top_k(
                         touched.add(n)
             part = TaskContext.get().partitionId() // FAN
             for n in sorted(touched):
-                yield _packed(lists[n].own, lists[n].scores, lists[n].ids, part)
+                found = lists[n]
+                for tile, scores in zip(found.parts, found.scores):
+                    yield _packed(found.own[tile], np.full(len(scores), part, np.int32), scores, found.ids[tile])
 
         partial = candidates.mapInArrow(search, schema)
         final = gathered(gathered(partial, "id", "part"), "id")
@@ -159,14 +179,18 @@ def top_k(
     return out
 
 
-def _packed(own: np.ndarray, scores: np.ndarray, ids: np.ndarray, part: int) -> pa.RecordBatch:
-    """Lists as rows, without the places that no row has taken."""
+def _packed(own: np.ndarray, part: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Lists as rows, without the places that no row has taken; ``wide`` holds the scores beyond a long, as digits."""
     full = ids != NO_ID
-    offsets = np.concatenate([[0], np.cumsum(full.sum(1))]).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[full])) for x in (scores, ids)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(own), pa.array(np.full(len(own), part, np.int32)), *lists], ["id", "part", "scores", "ids"]
-    )
+    offsets = pa.array(np.concatenate([[0], np.cumsum(full.sum(1))]).astype(np.int32))
+    kept = scores[full]
+    if kept.dtype == object:
+        wide = pa.array([str(x) if abs(x) >= LONG else None for x in kept], pa.string())
+        kept = np.array([max(-NO_ID, min(NO_ID, x)) for x in kept], np.int64)
+    else:
+        wide = pa.nulls(len(kept), pa.string())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(kept), wide, pa.array(ids[full]))]
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(part), *lists], ["id", "part", "scores", "wide", "ids"])
 
 
 def _merging(k: int):
@@ -175,14 +199,18 @@ def _merging(k: int):
             n = batch.num_rows
             if not n:
                 continue
-            lists = [batch.column(i) for i in (2, 3)]
+            lists = [batch.column(i) for i in (2, 3, 4)]
             lengths = np.diff(np.frombuffer(lists[0].buffers()[1], np.int32)[lists[0].offset : lists[0].offset + n + 1])
             spot = np.arange(lengths.max(initial=1))[None, :] < lengths[:, None]
+            given, digits = lists[0].flatten().to_numpy(), lists[1].flatten()
             scores, ids = np.full(spot.shape, NONE), np.full(spot.shape, NO_ID)
-            scores[spot], ids[spot] = lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
-            scores, ids = best(scores, ids, k)
-            packed = _packed(batch.column(0).to_numpy(), scores, ids, 0)
-            yield pa.RecordBatch.from_arrays([packed.column(0), batch.column(1), packed.column(2), packed.column(3)], packed.schema.names)
+            if digits.null_count < len(digits):
+                scores = np.full(spot.shape, -math.inf, object)
+                exact = [int(x) if d is None else int(d) for x, d in zip(given, digits.to_pylist())]
+                given = np.empty(len(exact), object)
+                given[:] = exact
+            scores[spot], ids[spot] = given, lists[2].flatten().to_numpy()
+            yield _packed(batch.column(0).to_numpy(), batch.column(1).to_numpy(), *best(scores, ids, k))
 
     return merge
 

@@ -2,12 +2,15 @@
 
 import gzip
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cohortlens.llm import decontamination, mixing, pii, quality, sharding, simhash, substring_dedup, topk, toxicity, warc
 
@@ -94,6 +97,18 @@ def test_shards_match_the_mixture(docs, odd):
     assert sharding.interleave(odd.limit(0)).count() == 0
 
 
+def test_small_sources_spread_over_the_parts(spark):
+    tail = spark.range(4000).selectExpr("id AS doc_id", "concat('site', id div 2) AS source")
+    ranks = tail.selectExpr("source", "1L + doc_id % 2 AS r", "2L AS n")
+    place = sharding.fractional_rank(F.col("r"), F.col("n"), F.col("source"), 42)
+    found = ranks.select(place.alias("x")).agg(F.min("x"), F.max("x"), F.countDistinct(F.floor(F.col("x") * 1000))).first()
+    assert found[0] >= 0 and found[1] < 1 and found[2] > 800
+    got = sharding.interleave(tail, shards=8, parts=16).collect()
+    assert sorted(Counter(r.shard for r in got).items()) == [(s, 500) for s in range(8)]
+    by_source = Counter((r.source, r.shard) for r in got)
+    assert max(by_source.values()) == 1
+
+
 def water(sizes, weights):
     total, capped = sum(sizes.values()), set()
     while True:
@@ -277,8 +292,25 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     wanted = brute_top(rows, [r for r in rows if r[0] % 20 == 0], 7)
     assert got == {q: x for q, x in wanted.items() if x}
     assert topk.top_k(frame.limit(0), frame, k=7).count() == 0 and topk.top_k(frame, frame.limit(0)).count() == 0
-    huge = np.array([[2**40, 2**40]])
-    assert topk.products(huge, huge, 2.0**81)[0, 0] == np.iinfo(np.int64).max
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_top_k_ranks_components_of_any_size_exactly(spark, monkeypatch, tile):
+    monkeypatch.setattr(topk, "TILE_ROWS", tile)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 2)
+    monkeypatch.setattr(topk, "FAN", 1)
+    big = [2.0**41, -(2.0**41), 2.0**62 + 2.0**11, -(2.0**70), 1e300, -1e300, 1.7e308, 2.0**56, 2.0**57 - 16]
+    rows = [(i, [x, 1.0]) for i, x in enumerate(big)] + [(i, [(i % 7) - 3 + 0.3, 0.5]) for i in range(20, 60)]
+    rows += [(100, [1e300, 1.0]), (101, [1e300, 1.0 + 2.0**-6]), (102, [2.0**41, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for r in topk.top_k(frame, frame.filter("vec_id % 3 = 0"), k=9, query_block=4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    exact = {i: [math.floor(Fraction(x) * 64) for x in v] for i, v in rows}
+    limit = 2**63 - 1
+    for q in [i for i in exact if i % 3 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)[:9]
+        assert got[q] == [(i, max(-limit, min(limit, -s))) for s, i in scores], q
 
 
 PAGES = [(1, "u%\n", "x" * 99), (2, None, "x" * 99), (5, "u", "y" * 100), (4, "u", "y" * 100), (3, "u", None), (None, "u", "y" * 100), (6, "u", "ü漢\r\n\r\nWARC/1.1\r\n" * 20), (7, "u", "")]
