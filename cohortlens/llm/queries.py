@@ -84,7 +84,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.dedup_units(
+        docs, kind="block", least_words=1, least_stretch=substring_dedup.LEAST_STRETCH
+    )
     return found.select("doc_id", F.size("removed").alias("n_removed"), "removed", "kept_text")
 
 

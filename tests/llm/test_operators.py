@@ -4,8 +4,10 @@ import gzip
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -358,24 +360,87 @@ def test_large_member_ends_with_zero():
     assert gzip.decompress(warc.member(data) + b"\x00") == data
 
 
-def brute_kept(rows, kind, least):
+def plain_words(t):
+    return re.findall(r"\w+", unicodedata.normalize("NFKC", t).casefold())
+
+
+def plain_units(t, kind):
+    """Units in order, found character by character; all of a text lies in a unit or between two."""
+    if kind == "line":
+        return re.split("(\n)", t)[::2]
+    if kind == "paragraph":
+        return re.split(r"\n[^\S\n]*\n\s*", t)
+    if kind == "sentence":
+        return [x for line in t.split("\n") for x in re.split(r"(?<=[.!?:])\s+", line)]
+    out, unit = [], ""
+    for piece in re.findall(r"\w+|\W+", t):
+        if not re.match(r"\w", piece):
+            # a run of blanks ends a block if it holds a line end or follows a full stop, mark or colon
+            for part in re.findall(r"\s+|\S", piece):
+                unit += part
+                if part.isspace() and ("\n" in part or unit[: -len(part)][-1:] in (*".!?:",)) and len(re.findall(r"\w+", unit)) >= 4:
+                    out.append(unit)
+                    unit = ""
+            continue
+        unit += piece
+        if len(piece) >= 9 and len(re.findall(r"\w+", unit)) >= 4:
+            out.append(unit)
+            unit = ""
+    return [*out, unit]
+
+
+def brute_kept(rows, kind, least, stretch=0):
     seen, out = set(), []
     for _, t in rows:
-        low, kept, gone = 0, "", []
-        for a, b, h in substring_dedup.digests(t or "", kind, least):
-            if h in seen:
-                gone.append((a, b))
-                kept, low = kept + t[low:a], b
-            seen.add(h)
-        out.append((gone, t if t is None else kept + t[low:]))
+        at, found = 0, []
+        for unit in plain_units(t or "", kind):
+            a = t.index(unit, at) if unit else at
+            at, words = a + len(unit), plain_words(unit)
+            if len(words) >= least:
+                found.append((a, at, len(words), tuple(words) in seen))
+                seen.add(tuple(words))
+        gone = [[x] for x in found if x[3]]
+        if stretch:
+            gone = [list(g) for again, g in groupby(found, key=lambda x: x[3]) if again]
+        spans = [(g[0][0], g[-1][1]) for g in gone if sum(x[2] for x in g) >= stretch]
+        edges = [0, *[x for span in spans for x in span], len(t or "")]
+        out.append((spans, t if t is None else "".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))))
     return out
 
 
-@pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
-def test_dedup_matches_brute_force(docs, kind):
+@pytest.mark.parametrize("kind,least,stretch", [("sentence", 4, 0), ("line", 4, 0), ("paragraph", 4, 0), ("block", 1, 25), ("block", 3, 10)])
+def test_dedup_matches_brute_force(docs, kind, least, stretch):
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
-    got = substring_dedup.dedup_units(docs, kind=kind, least_words=4).orderBy("doc_id").collect()
-    assert [([(x.start, x.end) for x in r.removed], r.kept_text) for r in got] == brute_kept(rows, kind, 4)
+    got = substring_dedup.dedup_units(docs, kind=kind, least_words=least, least_stretch=stretch).orderBy("doc_id").collect()
+    assert [([(x.start, x.end) for x in r.removed], r.kept_text) for r in got] == brute_kept(rows, kind, least, stretch)
+    assert any(r.removed for r in got)
+
+
+def test_passages_are_found_wherever_they_are_joined_in(spark):
+    chance = np.random.default_rng(5)
+    word = lambda: "".join(chance.choice(list("abcdefghijklmno"), int(chance.integers(2, 12))))
+    some = lambda n: " ".join(word() for _ in range(n))
+    flowing = some(60)
+    short = " ".join(f"{some(5)}." for _ in range(12))
+    texts = [f"{some(30)} {x} {some(30)}" for x in (flowing, flowing, short, short)] + [f"{some(40)} the usual line of six words. {some(40)}" for _ in range(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(frame, kind="block", least_words=1, least_stretch=25).collect()}
+    assert sorted(i for i in got if got[i].removed) == [1, 3]
+    for i, passage in ((1, flowing), (3, short)):
+        (span,) = got[i].removed
+        low = texts[i].index(passage)
+        assert max(0, min(span.end, low + len(passage)) - max(span.start, low)) > 0.6 * len(passage)
+        assert span.start >= low and span.end <= low + len(passage) + 1
+
+
+def test_a_text_of_very_many_repeats_is_cut_in_one_pass():
+    text = "one and the same line comes again\n" * 300_000
+    kept, spans = substring_dedup.without_units(text, range(1, 300_000), "line", 6, 0)
+    assert len(spans) == 299_999 and kept == "one and the same line comes again" + "\n" * 300_000
+    kept, spans = substring_dedup.without_units(text, range(1, 300_000), "block", 1, 25)
+    assert len(spans) == 1 and kept == "one and the same line comes again\n"
+    for odd in ("\n" * 200_000, "! " * 200_000, "x" * 500_000, "!\n" * 200_000):
+        assert sum(1 for _ in substring_dedup.units(odd, "block")) == 1
 
 
 def test_dedup_of_odd_rows(odd):
