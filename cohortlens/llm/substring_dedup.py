@@ -29,39 +29,51 @@ ENDS = {
 }
 #: Where a block may end: after a long word, a sentence or a line. That depends on the words alone, so blocks end alike
 #: in all copies of a passage, wherever the passage is joined in.
-BLOCK_ENDS = re.compile(r"\w{9,}|(?<=[.!?:])\s+|\s*\n\s*")
+BLOCK_ENDS = re.compile(r"\b\w{9,}|[.!?:]\s+|\n\s*")
 WORDS = re.compile(r"\w+")
 
 
+def blocks(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Start, end and words of a text's blocks; every character is looked at a bounded number of times."""
+    low, seen, words, found = 0, 0, [], WORDS.findall
+    for m in BLOCK_ENDS.finditer(text):
+        end = m.end()
+        words += found(text, seen, end)
+        seen = end
+        if len(words) >= BLOCK_WORDS:
+            yield low, end, words
+            low, words = end, []
+    yield low, len(text), words + found(text, seen)
+
+
 def units(text: str, kind: str) -> Iterator[tuple[int, int]]:
-    """Start and end (code points) of a text's units; every character is looked at a bounded number of times."""
-    low = words = seen = 0
-    if kind == "block":
-        for m in BLOCK_ENDS.finditer(text):
-            words += len(WORDS.findall(text, seen, m.end()))
-            seen = m.end()
-            if words >= BLOCK_WORDS:
-                yield low, seen
-                low, words = seen, 0
-    else:
-        for m in ENDS[kind].finditer(text):
-            yield low, m.start()
-            low = m.end()
+    """Start and end (code points) of the pieces between unit ends."""
+    low = 0
+    for m in ENDS[kind].finditer(text):
+        yield low, m.start()
+        low = m.end()
     yield low, len(text)
 
 
-def normalised(unit: str) -> str:
-    """A unit's words, without case, punctuation, and different forms of one character."""
-    return " ".join(WORDS.findall(unicodedata.normalize("NFKC", unit).casefold()))
+def words_of(unit: str) -> list[str]:
+    return WORDS.findall(unicodedata.normalize("NFKC", unit))
 
 
 def worded(text: str, kind: str, least: int) -> Iterator[tuple[int, int, str, int]]:
-    """Start, end, normal form and number of words of the units with enough words."""
-    for start, end in units(text, kind):
-        unit = normalised(text[start:end])
-        words = unit.count(" ") + 1 if unit else 0
-        if words >= max(least, 1):
-            yield start, end, unit, words
+    """Start, end, normal form and number of words of the units with enough words.
+
+    The normal form is a unit's words, without case, punctuation, and different forms of one character.
+    """
+    if kind != "block":
+        pieces = ((start, end, words_of(text[start:end])) for start, end in units(text, kind))
+    elif unicodedata.is_normalized("NFKC", text):
+        pieces = blocks(text)
+    else:
+        pieces = ((start, end, words_of(text[start:end])) for start, end, _ in blocks(text))
+    least = max(least, 1)
+    for start, end, words in pieces:
+        if len(words) >= least:
+            yield start, end, " ".join(words).casefold(), len(words)
 
 
 def digest_of(unit: str) -> bytes:
