@@ -1,6 +1,6 @@
 """WARC archives: writing records with revisits, and a reader that salvages damaged archives.
 
-Archives are written by the engine's text sink: a row is one record, a gzip member of its own. The
+Archives are written by the engine's text sink: a row is a bundle of records, each a gzip member of its own. The
 sink ends each row with its line separator, here the zero byte, which is also the last byte of a
 gzip member (the high byte of its length field), so the files hold members end to end. Files become
 visible when the job commits, and a task that is run again writes the same bytes.
@@ -30,8 +30,11 @@ HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]*\r\n)*?)\r\n")
 EMPTY = GZIP + bytes(7) + b"\x03\x00" + bytes(8)
 #: Gaps between two looks at a cheap sign of damage: bytes inflated at a time.
 STEP = 1 << 20
-#: Records of an archive at most, when archives are written.
-ARCHIVE_RECORDS = 10_000
+#: Bytes of a bundle of packed records (a larger record is one by itself), and bundles of an archive, when archives are
+#: written: an archive has at most so many times the larger of a bundle and its largest record.
+BUNDLE_BYTES, ARCHIVE_BUNDLES = 1 << 24, 8
+#: Bytes of an archive that is read; the engine hands over a file's content as one value, which can't be longer.
+LARGEST_READ = 2**31 - 1 - 4096
 #: Rows, and bytes of payloads, after which a batch of records goes out.
 ROWS_AT_ONCE = 256
 BYTES_AT_ONCE = 1 << 24
@@ -94,8 +97,9 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Null payloads are written as empty ones. Of rows with equal payloads of at least LEAST_SHARED
     bytes the one with the smallest key is the response (rows that share that key are responses
     each; a null key comes last, and among null keys alone all are responses). Rows are written
-    where they lie after the join that finds revisits; nothing is sorted or gathered. An archive has at
-    most ARCHIVE_RECORDS records.
+    where they lie after the join that finds revisits; nothing is sorted or gathered. Archives are
+    bounded by bytes (ARCHIVE_BUNDLES), so that they can be read again whatever the size of their records. Columns
+    but the three named ones are not written.
     """
     body = F.coalesce(F.encode(F.col(f"`{payload}`").cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(
@@ -106,7 +110,13 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.octet_length("payload").alias("size"), F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
     )
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch], most=BUNDLE_BYTES) -> Iterator[pa.RecordBatch]:
+        bundle, size_of = [], 0
+
+        def full() -> pa.RecordBatch:
+            # the zero byte that ends a member stands between them, as between the rows
+            return pa.RecordBatch.from_arrays([pa.array([b"\x00".join(bundle)], pa.binary())], ["value"])
+
         for batch in batches:
             for number, url_, sha, refers, size, data in zip(*[c.to_pylist() for c in batch.columns]):
                 named = hashlib.sha256(f"{number}|{url_}|{sha}".encode()).hexdigest()
@@ -120,11 +130,18 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                 headers += [] if url_ is None else [("WARC-Target-URI", one_line(url_))]
                 headers += [] if number is None else [("WARC-Page-Key", one_line(number))]
                 headers += [] if refers is None else [("WARC-Refers-To-Page-Key", one_line(refers))]
-                yield pa.RecordBatch.from_arrays([pa.array([member(record(headers, data or b""))], pa.binary())], ["value"])
+                packed = member(record(headers, data or b""))
+                if bundle and size_of + len(packed) > most:
+                    yield full()
+                    bundle, size_of = [], 0
+                bundle.append(packed)
+                size_of += len(packed) + 1
+        if bundle:
+            yield full()
 
     records = marked.mapInArrow(write, "value binary")
     lines = records.select(F.col("value").cast("string")).write.option("lineSep", "\x00")
-    lines.option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    lines.option("maxRecordsPerFile", ARCHIVE_BUNDLES).text(path)
 
 
 @dataclass
@@ -271,14 +288,20 @@ def salvage(data: bytes) -> Salvage:
     return found
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, largest: int = LARGEST_READ) -> DataFrame:
     """The records and gaps of all archives below a path: columns of RECORD.
 
     A record has its place, headers and payload (the block); a gap has its place and ``gap``, the
     reason (see ``entries``). Rows go out as they are found. An archive is one task's work and must fit it (the usual size is a gigabyte or less); a
-    damaged one costs no other. Empty files give no rows.
+    damaged one costs no other, and neither does one of more than ``largest`` bytes: it is not opened, but is a
+    gap as a whole. Empty files give no rows.
     """
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "content")
+    found = spark.read.format("binaryFile").load(path)
+    files = found.filter(F.col("length").between(1, largest)).select("path", "content")
+    beyond = found.filter(F.col("length") > largest).select(
+        "path", F.lit(0).cast("long").alias("offset"), "length", F.lit(None).cast("map<string,string>").alias("headers"),
+        F.lit(None).cast("binary").alias("payload"), F.lit("an archive too large to be read").alias("gap"),
+    )
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _RECORD.types)], schema=_RECORD)
@@ -296,7 +319,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return files.mapInArrow(read, RECORD)
+    return files.mapInArrow(read, RECORD).unionByName(beyond)
 
 
 def quarantined(found: DataFrame) -> DataFrame:
@@ -311,11 +334,11 @@ def header(name: str) -> Column:
 
 
 def page_records(found: DataFrame) -> DataFrame:
-    """Per record: the page's key, the payload's length and digest, the record's type and what it refers to."""
+    """Per record: the page's key (null if it is no whole number), the payload's length and digest, the type and what it refers to."""
     return found.filter("gap IS NULL").select(
-        header("WARC-Page-Key").cast("long").alias("page_id"),
-        F.coalesce(header("WARC-Payload-Length").cast("long"), F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        header("WARC-Page-Key").try_cast("long").alias("page_id"),
+        F.coalesce(header("WARC-Payload-Length").try_cast("long"), F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.regexp_replace(header("WARC-Payload-Digest"), "^sha256:", "").alias("payload_digest"),
         header("WARC-Type").alias("record_type"),
-        header("WARC-Refers-To-Page-Key").cast("long").alias("refers_to"),
+        header("WARC-Refers-To-Page-Key").try_cast("long").alias("refers_to"),
     )

@@ -46,9 +46,38 @@ def test_salvage_of_a_damaged_or_cut_off_member(level):
     assert [r[3] for r in warc.salvage(plain[:-4]).records] == [b"x" * 100, b"y" * 100]
 
 
-def test_archives_are_bounded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 10)
-    pages = spark.range(95).selectExpr("id AS page_id", "concat('u', id) AS url", "concat('page ', id) AS html").coalesce(1)
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 4000)
+    monkeypatch.setattr(warc, "ARCHIVE_BUNDLES", 3)
+    chance = np.random.default_rng(2)
+    html = [chance.bytes(n).hex() for n in [100] * 60 + [3000] * 20 + [9000] * 3 + [100] * 40]
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(html)], "page_id long, url string, html string").coalesce(1)
     warc.write_archives(pages, f"{tmp_path}/w")
+    files = list((tmp_path / "w").glob("part-*"))
+    largest = max(len(warc.member(t.encode())) for t in html) + 400
+    assert len(files) > 5 and max(f.stat().st_size for f in files) <= 3 * max(4000, largest)
     found = warc.read_archives(spark, f"{tmp_path}/w")
-    assert found.count() == 95 and max(r["count"] for r in found.groupBy("path").count().collect()) <= 10
+    assert warc.quarantined(found).count() == 0
+    got = sorted((r.page_id, r.payload_digest) for r in warc.page_records(found).collect())
+    assert got == [(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(html)]
+
+
+def test_an_archive_too_large_to_read_costs_no_other(spark, tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(1)))
+    (tmp_path / "b.warc").write_bytes(b"".join(record(i) for i in range(30)))
+    (tmp_path / "c.warc").write_bytes(record(3) + record(4))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5000")  # the engine refuses to open larger files
+    try:
+        found = warc.read_archives(spark, str(tmp_path), largest=5000).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found if r.gap is None) == ["a.warc.gz", "c.warc", "c.warc"]
+    (gap,) = [r for r in found if r.gap is not None]
+    assert gap.path.endswith("b.warc") and (gap.offset, gap.length) == (0, (tmp_path / "b.warc").stat().st_size)
+
+
+def test_keys_that_are_no_numbers_do_not_end_the_job(spark, tmp_path):
+    pages = spark.createDataFrame([("p1", "u", "x"), ("7", "u", "y")], "page_id string, url string, html string")
+    warc.write_archives(pages, f"{tmp_path}/w")
+    found = warc.page_records(warc.read_archives(spark, f"{tmp_path}/w"))
+    assert sorted((r.page_id, r.payload_bytes) for r in found.collect() if r.page_id is not None) == [(7, 1)] and found.count() == 2
