@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.llm import hard_negatives, periodic_runs, quality_rules, queries
 
@@ -226,3 +227,57 @@ def test_rules_on_odd_rows(spark, odd):
     assert quality_rules.apply_rules(odd.limit(0), empty).count() == 0
     long = [r for r in quality_rules.apply_rules(odd, empty).collect() if len(r.text or "") > 10_000]
     assert not any(r.rules.kept for r in long)  # one sentence over and over
+
+
+def plain_text(i, bad=False):
+    words = [f"word{(i * 7 + k * (1 + i % 5)) % 61}" + "x" * ((i + k) % 6) for k in range(24 + i % 9)]
+    return " ".join(w.upper() + "!!??" if bad else w for w in words)
+
+
+def test_rules_learn_from_all_labelled_rows(spark):
+    """Bad labels behind the first 6,000 keys by hash: a model of these keys alone finds nothing odd."""
+    order = [r.k for r in spark.range(7_000).toDF("k").orderBy(F.xxhash64(F.lit(42), "k"), "k").collect()]
+    rows = [(k, plain_text(k, place >= 6_900), int(place < 6_900)) for place, k in enumerate(order)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality_rules.train(frame, frame)
+    got = quality_rules.apply_rules(frame, model).select("quality", "rules.odd").collect()
+    assert sum(r.odd for r in got if r.quality == 0) > 90
+    assert sum(r.odd for r in got if r.quality == 1) <= 0.005 * 6_900
+    # all good rows are counted, as in a forest grown of them in one place
+    features = quality_rules.statistics([t for _, t, _ in rows])[1]
+    good = np.array([y for *_, y in rows]) == 1
+    whole = quality_rules.Forest(features[good], features[~good])
+    assert model.forest.size == 6_900
+    assert all(np.array_equal(a, b) for t, u in zip(model.forest.trees, whole.trees) for a, b in zip(t, u))
+
+
+def test_threshold_of_rows_left_out_matches_brute_force(spark):
+    chance = np.random.default_rng(8)
+    width = len(quality_rules.FEATURES)
+    features = np.concatenate([chance.normal(size=(90, width)), chance.normal(size=(30, width)) * 1.5 + 1])
+    good = np.arange(120) < 90
+    rows = spark.createDataFrame(list(zip(features.tolist(), good.tolist())), "features array<double>, good boolean").repartition(5)
+    forest, left_out = quality_rules.forests(rows)
+    grown = quality_rules.random_trees(features.min(0), features.max(0), 90)
+    paths = forest.paths(features)
+    for i in range(90):  # a good row's path in the forest of the others
+        rest = features[:90][np.arange(90) != i]
+        paths[i] = quality_rules.Forest.counted(grown, quality_rules.ended(grown, rest), 90).paths(features[i : i + 1])[0]
+    assert np.array_equal(left_out.paths(features[:90]), paths[:90])
+    for good_lost in (0.0, 0.05, 0.3):
+        tried = [(np.mean(paths[~good] < p) - np.mean(paths[good] < p), p) for p in set(paths) if np.mean(paths[good] < p) <= good_lost]
+        gain, best = max((round(g, 12), p) for g, p in tried)
+        want = forest.scored((best + max(paths[paths < best])) / 2) if gain > 0 else math.inf
+        assert quality_rules.best_threshold(rows, forest, left_out, good_lost) == want
+    assert quality_rules.best_threshold(rows.filter("good"), forest, left_out) == math.inf
+
+
+def test_labelled_keys_count_once(spark):
+    docs = [(i, plain_text(i)) for i in range(6)] + [(1, plain_text(1)), (2, plain_text(9)), (None, plain_text(3)), (7, "few words"), (8, None)]
+    labels = [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (3, 0), (4, None), (5, 0), (7, 1), (8, 0), (9, 1), (None, 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = quality_rules.labelled(docs, labels, "text", "doc_id", "quality").collect()
+    least = docs.filter("doc_id = 2").orderBy(F.xxhash64("text")).head().text
+    texts = [(plain_text(0), True), (plain_text(1), True), (least, True), (plain_text(3), False), (plain_text(5), False)]
+    assert sorted((r.features, r.good) for r in got) == sorted((quality_rules.statistics([t])[1][0].tolist(), y) for t, y in texts)
